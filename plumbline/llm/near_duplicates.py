@@ -31,9 +31,10 @@ from plumbline.llm.shingles import digest, mix, shingle_sets
 #: Buckets of the count sketch, whatever the size of the input.
 SKETCH_BITS = 18
 #: Longest multi-match prefix, and the cost of verifying a candidate against reading a posting.
-MAX_MATCHES, VERIFY_COST = 4, 20.0
-#: Min-hashes by which large groups are found, and the size from which a group is large.
-BANDS, LARGE_GROUP = 3, 16
+MAX_MATCHES, VERIFY_COST = 16, 20.0
+#: Min-hashes of a class; how many of them find large groups; the size from which a group is large;
+#: how many must agree before a class is compared with a group's centre.
+BANDS, KEYS, LARGE_GROUP, AGREE = 12, 3, 16, 8
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -66,11 +67,16 @@ def _profile(width: int, id_type: pa.DataType):
     return run
 
 
-def matches(extra: np.ndarray, must: int) -> int:
-    """The number of shared tokens to ask for: extra[i] estimates the other postings of token i."""
-    n, most = extra.size, max(1, min(MAX_MATCHES, must))
-    read = np.cumsum(extra)[[n - must + k - 1 for k in range(1, most + 1)]]
-    return 1 + int(np.argmin(read * (1 + VERIFY_COST / np.arange(1, most + 1))))
+def matches(extra: np.ndarray, must: int, alike: int) -> int:
+    """The number of shared tokens to ask for.
+
+    extra[i] estimates the other postings of token i.  A pair of equal sizes needs ``alike`` common
+    tokens, so only the first n - alike + k places can hold the k-th shared one of a good pair.
+    Reading costs a posting each; a candidate, which uses up k of them, costs VERIFY_COST.
+    """
+    most = np.arange(1, max(1, min(MAX_MATCHES, must)) + 1)
+    read = np.cumsum(extra)[extra.size - alike + most - 1]
+    return 1 + int(np.argmin(read * (1 + VERIFY_COST / most)))
 
 
 def _prefixes(width: int, num: int, den: int, sketch):
@@ -79,6 +85,7 @@ def _prefixes(width: int, num: int, den: int, sketch):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uses = sketch.value
         noise = float(uses.mean())
+        doubt = noise**0.5  # what the sketch can't tell from noise
         seeds = [np.uint64(0x5851F42D4C957F2D * (j + 1) % 2**64) for j in range(BANDS)]
         for batch in batches:
             rows = []
@@ -88,11 +95,10 @@ def _prefixes(width: int, num: int, den: int, sketch):
                 n = h.size
                 must = -(-num * n // den)
                 df = uses[_bucket(h)]
-                longest = n - must + max(1, min(MAX_MATCHES, must))
                 order = np.lexsort((h, df))
                 df = df[order]
-                k = matches(np.maximum(df - noise, 0.0), must)
-                p = min(n - must + k, longest)
+                k = matches(np.maximum(df - noise, 0.0) + doubt, must, -(-2 * num * n // (num + den)))
+                p = n - must + k
                 rows.append((digest(h)[0], n, k, h[order[:p]].view(np.int64), float(df[:p].mean()), [int(mix(h ^ s).min().view(np.int64)) for s in seeds]))
             if rows:
                 c = list(zip(*rows))
@@ -103,14 +109,20 @@ def _prefixes(width: int, num: int, den: int, sketch):
 
 
 def _sets(width: int):
+    """(cls, set) of each class once a task; a text of another class under the same id is passed over."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            sets = [h.view(np.int64) for h in shingle_sets(batch.column(1).to_pylist(), width)]
-            for at in range(0, len(sets), 1000):
-                own = sets[at : at + 1000]
-                flat = pa.array(np.concatenate([np.empty(0, np.int64), *own]))
-                made = pa.array([digest(h.view(np.uint64))[0] for h in own], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 1000], made, pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)]), pa.int32()), flat)], names=["cls", "made", "set"])
+            own = []
+            for c, h in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), width)):
+                if c not in seen and digest(h)[0] == c:
+                    seen.add(c)
+                    own.append((c, h.view(np.int64)))
+            for at in range(0, len(own), 1000):
+                c, h = zip(*own[at : at + 1000])
+                sets = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, h)]), pa.int32()), pa.array(np.concatenate(h)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), sets], names=["cls", "set"])
 
     return run
 
@@ -121,8 +133,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, firsts: DataFrame, width: int,
     ids = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct().join(firsts, "cls").select("cls", "first_id")
     ids = table(ids, f"{name}-ids")
     texts = rows.join(guarded(ids), rows["_id"].eqNullSafe(ids["first_id"])).select("cls", "_text")
-    sets = texts.mapInArrow(_sets(width), "cls long, made long, set array<long>").where("cls = made").select("cls", "set")  # an id may have other texts too
-    sets = table(sets.dropDuplicates(["cls"]), f"{name}-sets")
+    sets = table(texts.mapInArrow(_sets(width), "cls long, set array<long>"), f"{name}-sets")
     side = lambda k: sets.select(F.col("cls").alias(k), F.col("set").alias(f"set_{k}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("set_a", "set_b")).cast("long"))
     good = F.lit(den) * F.col("common") >= F.lit(num) * (F.size("set_a") + F.size("set_b") - F.col("common"))
@@ -156,9 +167,11 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     classes = rows.select("_text").mapInArrow(_prefixes(width, num, den, sketch), "cls long, n long, l int, tokens array<long>, weight double, bands array<long>")
     classes = table(classes.dropDuplicates(["cls"]), "prefixes")
-    keyed = classes.select("cls", "weight", F.posexplode("bands").alias("band", "key"))
-    centres = keyed.groupBy("band", "key").agg(F.count("*").alias("size"), F.max(F.struct("weight", "cls"))["cls"].alias("centre")).where(F.col("size") > LARGE_GROUP)
-    stars = keyed.join(centres, ["band", "key"]).where("cls <> centre").select(F.least("cls", "centre").alias("a"), F.greatest("cls", "centre").alias("b")).distinct()
+    keyed = classes.select("cls", "weight", "bands", F.posexplode(F.slice("bands", 1, KEYS)).alias("band", "key"))
+    centres = keyed.groupBy("band", "key").agg(F.count("*").alias("size"), F.max(F.struct("weight", "cls", "bands")).alias("centre")).where(F.col("size") > LARGE_GROUP)
+    alike = F.aggregate(F.zip_with("bands", "centre.bands", lambda p, q: (p == q).cast("int")), F.lit(0), lambda p, q: p + q)
+    stars = keyed.join(centres, ["band", "key"]).where((F.col("cls") != F.col("centre.cls")) & (alike >= AGREE))
+    stars = stars.select(F.least("cls", "centre.cls").alias("a"), F.greatest("cls", "centre.cls").alias("b")).distinct()
     stars = _verified(stars, rows, firsts, width, num, den, "star")
     labels = components(stars)
     n_labels = labels.count()
