@@ -1,58 +1,13 @@
-"""What the corpus operators share: shipped code, shared scratch tables, guarded broadcasts."""
+"""What the corpus operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of at most a few hundred bytes that may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
-_local: dict[str, str] = {}
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, which may not have it on their path."""
-    sc = spark.sparkContext
-    if _local.get("shipped") == sc.applicationId:
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="plumbline-code-")) / f"{root.name}.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(str(target))
-    _local["shipped"] = sc.applicationId
-
-
-def scratch(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir``.
-
-    Where it is unset, a local session gets a temporary folder; a cluster session is refused,
-    as its executors would not see such a folder.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _local.get(spark.sparkContext.applicationId)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = _local[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-    return folder.rstrip("/")
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: a cut of lineage that outlives executors."""
-    path = f"{scratch(df.sparkSession)}/plumbline/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+from plumbline.plans.materialize import guarded, scratch, ship, table
 
-def guarded(small: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks ``small`` for broadcasting if it has at most ``limit`` rows; beyond it, it stays as it is."""
-    return F.broadcast(small) if (small.count() if rows is None else rows) <= limit else small
+__all__ = ["columns", "guarded", "scratch", "sha256_of", "ship", "table"]
 
 
 def columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

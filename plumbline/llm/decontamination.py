@@ -1,11 +1,12 @@
 """Benchmark decontamination under edit distance.
 
-Windows as long as an item are placed where the words of a document agree with an item's word
-pairs in at least two places on about one diagonal.  The CGK random walk copies a string symbol
-by symbol, staying or moving on by a random bit for each step and symbol, so that strings of
-small edit distance become strings of small Hamming distance.  Repeated bit sampling of the
-embedded windows finds the items they may hold; candidates are verified exactly, by the least
-edit distance of the item to any stretch of the widened window.
+Windows as long as an item are placed where words of a document agree with an item's: one pair of
+neighbouring uncommon words, or two pairs on about one diagonal.  The CGK random walk copies a
+string symbol by symbol, staying or moving on by a random bit for each step and symbol, so that
+strings of small edit distance become strings of small Hamming distance.  As walks that an edit has
+parted may stay apart, they start at the agreeing words, in items at each word.  Repeated bit
+sampling, over short and long reaches, finds which of the items with these words a window may
+hold; candidates are verified exactly, by the least edit distance of the item to any stretch of the widened window.
 """
 
 from __future__ import annotations
@@ -24,9 +25,11 @@ from plumbline.llm.common import columns, ship
 
 #: Items of one block, whose index is sent to all executors; more items make more blocks.
 BLOCK_ITEMS = 20_000
-#: Independent walks, sampled places of a key, Hamming share of embedded pairs within the limit,
-#: and the recall for which the number of tables is set.
-WALKS, PLACES, HAMMING, RECALL = 4, 4, 0.42, 0.99
+#: Independent walks, sampled places of a key, Hamming share of a pair within a table's reach, the
+#: recall for which the number of tables is set, and the tables' reaches in steps of the walk.
+WALKS, PLACES, HAMMING, RECALL, REACHES = 4, 4, 0.3, 0.99, (24, 48, 96, 192)
+#: Anchors of a window that are embedded at most, and the share of items from which a word is common.
+ANCHORS, COMMON = 6, 0.03
 _PUNCTUATION = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -69,31 +72,31 @@ class Index:
     def __init__(self, items: list[tuple[object, str]], seed: int = 11):
         self.items = [(i, w, b" ".join(w)) for i, t in items if (w := words_of(t))]
         rng = np.random.Generator(np.random.PCG64(seed))
-        self.tables = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - HAMMING) ** PLACES))
-        longest = max((len(x) for _, _, x in self.items), default=1)
-        self.steps = 2 * longest
-        self.moves = rng.integers(0, 2, (WALKS, self.steps, 256), dtype=np.int8)
-        self.draws = rng.random((self.tables, PLACES))
+        per_reach = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - HAMMING) ** PLACES))
+        self.moves = rng.integers(0, 2, (WALKS, max(REACHES), 256), dtype=np.int8)
+        self.tables = [(t % WALKS, np.sort(rng.integers(0, reach, PLACES))) for reach in REACHES for t in range(per_reach)]
         shared: dict[tuple[bytes, bytes], list[tuple[int, int]]] = defaultdict(list)
+        uses: dict[bytes, int] = defaultdict(int)
         for k, (_, w, _) in enumerate(self.items):
             for j, pair in enumerate(zip(w, w[1:])):
                 shared[pair].append((k, j))
-        common = max(2, len(self.items) // 100)
-        rare = [sum(len({i for i, _ in shared[p]}) <= common for p in zip(w, w[1:])) for _, w, _ in self.items]
-        self.seeds = {p: kept for p, v in shared.items() if (kept := [(k, j) for k, j in v if len({i for i, _ in v}) <= common or rare[k] < 4])}
+            for word in set(w):
+                uses[word] += 1
+        most = max(2, len(self.items) // 100)
+        rare = [sum(len({i for i, _ in shared[p]}) <= most for p in zip(w, w[1:])) for _, w, _ in self.items]
+        self.seeds = {p: kept for p, v in shared.items() if (kept := [(k, j) for k, j in v if len({i for i, _ in v}) <= most or rare[k] < 4])}
+        often = max(2, COMMON * len(self.items))
+        self.strong = {p for p in self.seeds if uses[p[0]] <= often and uses[p[1]] <= often}
+        self.meant = {p: {k for k, _ in v} for p, v in self.seeds.items()}
         self.single = {w[0]: k for k, (_, w, _) in enumerate(self.items) if len(w) == 1}
-        self.buckets: dict[tuple[int, int, bytes], list[int]] = defaultdict(list)
-        lengths = np.array([len(x) for _, _, x in self.items])
-        for c in np.unique(self.classes(lengths)) if len(lengths) else []:
-            own = np.flatnonzero(self.classes(lengths) == c)
-            for near in (c - 1, c, c + 1):  # a window may fall in the class beside its item's
-                for table, key, k in self.keys([self.items[x][2] for x in own], int(near)):
-                    self.buckets[table, int(near), key].append(int(own[k]))
-
-    @staticmethod
-    def classes(lengths: np.ndarray) -> np.ndarray:
-        """Lengths that sample the same places: powers of 1.25."""
-        return np.floor(np.log(np.maximum(lengths, 1)) / math.log(1.25)).astype(int)
+        own = [(k, b" ".join(w[j : j + max(REACHES)])) for k, (_, w, _) in enumerate(self.items) for j in range(max(1, len(w) - 1))]
+        found: dict[int, set[int]] = defaultdict(set)
+        for at in range(0, len(own), 4096):
+            part = own[at : at + 4096]
+            for (_, n), key in np.ndenumerate(self.keys([x for _, x in part])):
+                found[int(key)].add(part[n][0])
+        self.buckets = dict(found)
+        self.known = np.sort(np.fromiter(self.buckets, np.uint64, len(self.buckets)))
 
     def embedded(self, strings: list[bytes], walk: int, steps: int) -> np.ndarray:
         """The walk over all strings at once; ended strings give zeros."""
@@ -108,25 +111,21 @@ class Index:
             at += self.moves[walk, j, c]
         return out
 
-    def keys(self, strings: list[bytes], length_class: int) -> Iterator[tuple[int, bytes, int]]:
-        """(table, key, number of the string)."""
-        steps = min(self.steps, max(4, int(1.6 * 1.25**length_class)))
-        for walk in range(WALKS):
-            out = self.embedded(strings, walk, steps)
-            for table in range(walk, self.tables, WALKS):
-                picked = out[:, (self.draws[table] * steps).astype(int)]
-                for k in range(len(strings)):
-                    yield table, picked[k].tobytes(), k
-
-    def placed(self, words: list[bytes]) -> list[tuple[int, int, int]]:
-        """(first word, words, words on either side) of the windows worth embedding."""
+    def keys(self, strings: list[bytes]) -> np.ndarray:
+        """A key for each table and string: the table and the symbols that it samples."""
+        out = [self.embedded([s[: max(REACHES)] for s in strings], walk, max(REACHES)) for walk in range(WALKS)]
+        sampled = [np.ascontiguousarray(out[walk][:, places]).view(np.uint32)[:, 0] for walk, places in self.tables]
+        return np.stack([x.astype(np.uint64) | np.uint64(t << 32) for t, x in enumerate(sampled)])
+
+    def placed(self, words: list[bytes]) -> list[tuple[int, int, int, list[int]]]:
+        """(first word, words, words on either side, anchors) of the windows worth embedding."""
         seeds = self.seeds
-        hits = [(k, p) for k, p in enumerate(zip(words, words[1:])) if p in seeds]
-        by_item: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, p in hits:
-            for item, j in seeds[p]:
-                by_item[item].append((k - j, j))
-        out = {(k, 1, 0) for k, w in enumerate(words) if w in self.single} if self.single else set()
+        by_item: dict[int, list[tuple[int, int, bool]]] = defaultdict(list)
+        for k, p in enumerate(zip(words, words[1:])):
+            if p in seeds:
+                for item, j in seeds[p]:
+                    by_item[item].append((k - j, j, p in self.strong))
+        out = [(k, 1, 0, [k]) for k, w in enumerate(words) if w in self.single] if self.single else []
         for item, found in by_item.items():
             m = len(self.items[item][1])
             slack, need = max(2, m // 5), min(2, m - 1)
@@ -136,46 +135,49 @@ class Index:
                 if x is not None and x[0] - run[-1][0] <= slack:
                     run.append(x)
                     continue
-                if len({j for _, j in run}) >= need:
-                    for d in sorted({d for d, _ in run})[:: max(1, slack // 2)]:
-                        out.add((max(0, d), m, slack))
+                if len({j for _, j, _ in run}) >= need or any(strong for _, _, strong in run):
+                    anchors = sorted({d + j for d, j, _ in run})
+                    step = max(1, -(-len(anchors) // ANCHORS))
+                    first, last = run[0][0], run[-1][0]
+                    out.append((max(0, first), m + last - first, slack, anchors[::step]))
                 if x is not None:
                     run = [x]
-        return sorted(out)
-
-    def matches(self, text: str | None, limit: float) -> list[tuple[object, int, int, int]]:
-        """(item id, first word, words, edits) of the best stretch for each item that the text holds."""
-        words = words_of(text)
-        windows = self.placed(words) if words else []
-        if not windows:
-            return []
-        strings = [b" ".join(words[a : a + m]) for a, m, _ in windows]
-        classes = self.classes(np.array([len(s) for s in strings]))
+        return out
+
+    def matches(self, texts: list[str | None], limit: float) -> list[tuple[int, object, int, int, int]]:
+        """(text, item id, first word, words, edits) of the best stretch for each item that a text holds."""
+        all_words = [words_of(t) for t in texts]
+        windows = [(n, *x) for n, words in enumerate(all_words) for x in (self.placed(words) if words else ())]
+        own = [(k, self.meant.get(tuple((w := all_words[x[0]])[at : at + 2])), b" ".join(w[at : at + max(REACHES)])) for k, x in enumerate(windows) for at in x[4]]
         pairs: set[tuple[int, int]] = set()
-        for c in np.unique(classes):
-            own = np.flatnonzero(classes == c)
-            for table, key, k in self.keys([strings[x] for x in own], int(c)):
-                pairs.update((int(own[k]), item) for item in self.buckets.get((table, int(c), key), ()))
-        best: dict[int, tuple[int, int, int]] = {}
+        for at in range(0, len(own), 4096):
+            part = own[at : at + 4096]
+            keys = self.keys([x for _, _, x in part])
+            place = np.minimum(np.searchsorted(self.known, keys), self.known.size - 1)
+            for t, n in zip(*np.nonzero(self.known[place] == keys)):
+                k, meant, _ = part[n]
+                found = self.buckets[int(keys[t, n])]
+                pairs.update((k, item) for item in (found if meant is None else found & meant))
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for k, item in sorted(pairs):
-            a, m, slack = windows[k]
+            n, a, m, slack, _ = windows[k]
             _, w, pattern = self.items[item]
+            slack += max(0, len(w) - m)
             first = max(0, a - slack)
-            wide = words[first : a + m + slack]
+            wide = all_words[n][first : a + m + slack]
             edits, end = least_edits(pattern, b" ".join(wide))
-            if edits <= limit * len(pattern) and (item not in best or edits < best[item][2]):
+            if edits <= limit * len(pattern) and ((n, item) not in best or edits < best[n, item][2]):
                 last = first + b" ".join(wide)[:end].count(b" ")
                 begin = max(first, last + 1 - len(w))
-                best[item] = (begin, last + 1 - begin, edits)
-        return [(self.items[k][0], *best[k]) for k in sorted(best)]
+                best[n, item] = (begin, last + 1 - begin, edits)
+        return [(n, self.items[k][0], *best[n, k]) for n, k in sorted(best)]
 
 
 def _searched(index, limit: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Index = index.value
-        for batch in batches:
-            found = [(k, *x) for k, text in enumerate(batch.column(1)) for x in own.matches(text.as_py(), limit)]
-            if found:
+        for batch in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):
+            if found := own.matches(batch.column(1).to_pylist(), limit):
                 c = list(zip(*found))
                 item = pa.array(c[1])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(c[0])), item, *(pa.array(x, pa.int64()) for x in c[2:])], names=["_id", "_item", "word", "words", "edits"])

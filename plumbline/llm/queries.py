@@ -5,20 +5,71 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from plumbline.llm import decontamination, language_id, packing, pii, quality, secret_scan, sharding, token_counts, toxicity
 from plumbline.llm.near_duplicates import jaccard_components
 
 
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer's file lies; its folder is a parameter of the installation."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(_documents(spark, sf_dir)))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(_documents(spark, sf_dir)))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_documents(spark, sf_dir), width=3, threshold=(90, 100))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir), tokenizer=tokenizer("byte_bpe_50k.json"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(_documents(spark, sf_dir))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", language_id.held_out())
+    profiles = language_id.learn(docs.where(~F.col("held_out")))
+    told = language_id.identify(docs, profiles)
+    return told.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_documents(spark, sf_dir), tokenizer=tokenizer("word_bpe_49k.json"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = sharding.shard_plan(_documents(spark, sf_dir), shards=16)
+    return plan.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_ngram_jaccard": op3_ngram_jaccard,
+    f.__name__: f
+    for f in (op1_secret_scan, op2_pii, op3_ngram_jaccard, op4_packing, op5_quality, op6_language_id, op7_toxicity, op8_token_counts, op9_decontamination, op10_sharding)
 }
 
 SQL: dict[str, str] = {}

@@ -39,7 +39,7 @@ def _powers(root: np.uint64, n: int) -> np.ndarray:
 _UP, _DOWN = _powers(_ROOT, _STEP), _powers(_INVERSE, _STEP)
 
 
-def _blocks(texts: list[str | None]) -> list[tuple[list[int], bytes, np.ndarray]]:
+def blocks(texts: list[str | None]) -> list[tuple[list[int], bytes, np.ndarray]]:
     """Runs of texts joined by line feeds, with their numbers and first bytes."""
     out, own, parts, size = [], [], [], 0
     for k, text in enumerate(texts):
@@ -57,8 +57,11 @@ def _blocks(texts: list[str | None]) -> list[tuple[list[int], bytes, np.ndarray]
     return [(own, b"\n".join(parts), np.cumsum([0, *(len(x) + 1 for x in parts[:-1])])) for own, parts in out]
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """One hash for each word of ``data`` (UTF-8) and the bytes at which the words begin."""
+def word_hashes(data: bytes, caps: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """One hash for each word of ``data`` (UTF-8), and the bytes at which the words begin.
+
+    For each of ``caps`` an array of the hashes of the words' first so many bytes follows.
+    """
     raw = np.frombuffer(data, np.uint8)
     edge = np.flatnonzero(np.diff(_SPACE[raw], prepend=True, append=True))
     starts, ends = edge[0::2], edge[1::2]
@@ -66,7 +69,9 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     up, down = (_UP, _DOWN) if n <= _STEP else (_powers(_ROOT, n), _powers(_INVERSE, n))
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[_FOLD[raw]] * up[:n], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts
+    to = [ends, *(np.minimum(ends, starts + c) for c in caps)]
+    whole, *cut = [mix((total[e] - total[starts]) * down[starts] + (e - starts).astype(np.uint64)) for e in to]
+    return whole, starts, *cut
 
 
 def _rolled(w: np.ndarray, k: int) -> np.ndarray:
@@ -79,7 +84,7 @@ def _rolled(w: np.ndarray, k: int) -> np.ndarray:
 def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text (null: empty)."""
     out = [np.empty(0, np.uint64)] * len(texts)
-    for own, data, begins in _blocks(texts):
+    for own, data, begins in blocks(texts):
         w, starts = word_hashes(data)
         first = np.append(np.searchsorted(starts, begins), w.size)
         rolled = _rolled(w, width) if w.size >= width else w[:0]
