@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import decontamination, language_id, packing, pii, quality, secret_scan, sharding, token_counts, toxicity
 from plumbline.llm.near_duplicates import jaccard_components
+from plumbline.llm.sql import SQL  # noqa: F401
 
 
 def tokenizer(name: str) -> str:
@@ -72,4 +73,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_secret_scan, op2_pii, op3_ngram_jaccard, op4_packing, op5_quality, op6_language_id, op7_toxicity, op8_token_counts, op9_decontamination, op10_sharding)
 }
 
-SQL: dict[str, str] = {}
+

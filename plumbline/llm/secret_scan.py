@@ -24,10 +24,10 @@ RULES = (
     Kind("access", r"AKIA[A-Z0-9]{14,}+"),
     Kind("hex", r"(?<![0-9a-f])[0-9a-f]{16,}+"),
     Kind("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", base=False),
-    Kind("github", r"(?<![A-Za-z0-9_])gh[pousr]_[A-Za-z0-9]{36,255}+", base=False),
-    Kind("slack", r"(?<![A-Za-z0-9-])xox[abprs]-[A-Za-z0-9-]{10,}+", base=False),
-    Kind("google", r"(?<![A-Za-z0-9_-])AIza[A-Za-z0-9_-]{35}+", base=False),
-    Kind("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{5,}+", base=False),
+    Kind("github", r"gh[pousr]_[A-Za-z0-9]{36,255}", base=False),
+    Kind("slack", r"xox[abprs]-[A-Za-z0-9-]{10,255}", base=False),
+    Kind("google", r"AIza[A-Za-z0-9_-]{35}", base=False),
+    Kind("jwt", r"eyJ[A-Za-z0-9_-]{10,255}\.eyJ[A-Za-z0-9_-]{10,999}\.[A-Za-z0-9_-]{5,999}", base=False),
 )
 _WORD_BITS = 62
 
