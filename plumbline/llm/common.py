@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.plans.materialize import guarded, scratch, ship, table
 
-__all__ = ["columns", "guarded", "scratch", "sha256_of", "ship", "table"]
+__all__ = ["columns", "guarded", "scratch", "sha256_of", "ship", "slices", "table"]
 
 
 def columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -17,3 +20,10 @@ def columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def sha256_of(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` a few at a time, so that what is made of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -3,7 +3,8 @@
 Categories are predicted one after the other; each model reads hashed words and the earlier
 categories' probabilities, which in training are out of fold.  The last link is toxicity itself.
 The tables label toxicity only, so the earlier categories are labelled weakly: a labelled toxic
-document belongs to each category of whose cue words it has one.  Cues are not features.
+document belongs to each category of whose cue words it has one.  Features are the hashed
+words and word beginnings of a text, and once more those that come twice or often.
 """
 
 from __future__ import annotations
@@ -18,13 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import columns, ship
+from plumbline.llm.common import columns, ship, slices
 from plumbline.llm.shingles import blocks, word_hashes
 
 #: Hashed word features; labelled rows that are learned from at most; folds; training steps; penalty.
-FEATURE_BITS, TRAIN_ROWS, FOLDS, STEPS, PENALTY = 20, 8_000, 3, 120, 0.001
-#: Documents that a feature must occur in to be learned.
-LEAST_USES = 3
+FEATURE_BITS, TRAIN_ROWS, FOLDS, STEPS, PENALTY = 20, 6_000, 3, 100, 0.001
+#: Documents that a feature must occur in to be learned, and by how much its shares of the two
+#: classes must differ: the penalty leaves no weight to those that differ less.
+LEAST_USES, LEAST_GAP = 3, 0.05
+#: Probability from which a document is called toxic.
+THRESHOLD = 0.5
 #: Bytes of word beginnings that are features beside whole words: stems that inflected forms share.
 BEGINNINGS = (5, 6, 7, 8, 9, 10)
 #: The chain's weak categories and their cue words.
@@ -104,23 +108,27 @@ def fit(x: Sparse, earlier: np.ndarray, y: np.ndarray, steps: int = STEPS, penal
     if positive in (0, x.n):
         return Link(np.zeros(1 << FEATURE_BITS), np.zeros(width), 30.0 if positive else -30.0)
     share = np.where(y > 0, n / (2 * positive), n / (2 * (n - positive)))
-    w, c, b = np.zeros(1 << FEATURE_BITS), np.zeros(width), 0.0
+    signed = np.where(y > 0, 1 / positive, -1 / (n - positive))
+    own = (np.abs(np.bincount(x.index, signed[x.row], 1 << FEATURE_BITS)) >= LEAST_GAP)[x.index]
+    x = Sparse(x.index[own], x.row[own], x.n)
+    used, place = np.unique(x.index, return_inverse=True)  # the few features that are left, numbered anew
+    x = Sparse(place.reshape(-1).astype(np.int32), x.row, x.n)
+    w, c, b = np.zeros(used.size), np.zeros(width), 0.0
     seen, seen_c, seen_b = np.full(w.size, 1e-8), np.full(width, 1e-8), 1e-8
-    used = np.flatnonzero(np.bincount(x.index, minlength=w.size))
     for _ in range(steps):
         error = share * (Link(w, c, b).scores(x, earlier) - y) / n
-        g = np.bincount(x.index, error[x.row], w.size)[used]
-        seen[used] += g * g
-        rate = 0.5 / np.sqrt(seen[used])
-        moved = w[used] - rate * g
-        w[used] = np.sign(moved) * np.maximum(0.0, np.abs(moved) - rate * penalty)
+        g = np.bincount(x.index, error[x.row], w.size)
+        seen += g * g
+        rate = 0.5 / np.sqrt(seen)
+        moved = w - rate * g
+        w = np.sign(moved) * np.maximum(0.0, np.abs(moved) - rate * penalty)
         g = earlier.T @ error
         seen_c += g * g
         c -= 0.3 * g / np.sqrt(seen_c)
         g = error.sum()
         seen_b += g * g
         b -= 0.3 * g / np.sqrt(seen_b)
-    return Link(w, c, b)
+    return Link(np.bincount(used, w, 1 << FEATURE_BITS), c, b)
 
 
 def fit_chain(x: Sparse, targets: np.ndarray, fold: np.ndarray) -> list[Link]:
@@ -158,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     cues = [re.compile(r"(?<!\w)(?:" + "|".join(words) + r")(?!\w)", re.I) for words in CATEGORIES.values()]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(0).to_pylist()
             own = [[bool(c.search(t or "")) for c in cues] for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([w.astype(np.int32) for w in features(texts)], pa.list_(pa.int32())), pa.array(own, pa.list_(pa.bool_()))], names=["toxic", "fold", "words", "cues"])
@@ -175,17 +183,15 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 def _scored(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = [Link(np.bincount(at, w, 1 << FEATURE_BITS), c, b) for at, w, c, b in model.value]
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                own = batch.slice(k, 500)
-                words = features(own.column(1).to_pylist())
-                told = chained(chain, Sparse.of(words)) * np.array([w.size > 0 for w in words])[:, None]
-                yield pa.RecordBatch.from_arrays([own.column(0), *(pa.array(told[:, j]) for j in range(told.shape[1]))], names=["_id", *(f"p_{c}" for c in CATEGORIES), "p_toxic"])
+        for own in slices(batches, 500):
+            words = features(own.column(1).to_pylist())
+            told = chained(chain, Sparse.of(words)) * np.array([w.size > 0 for w in words])[:, None]
+            yield pa.RecordBatch.from_arrays([own.column(0), *(pa.array(told[:, j]) for j in range(told.shape[1]))], names=["_id", *(f"p_{c}" for c in CATEGORIES), "p_toxic"])
 
     return run
 
 
-def score(docs: DataFrame, chain: list[Link], *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, chain: list[Link], *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: id, the probability of each category, ``p_toxic`` and ``toxic``.
 
     Null and empty texts, and texts without words, have probability 0.
