@@ -26,7 +26,7 @@ _LIST = sorted({w for words in COMMON.values() for w in words})
 #: Documents that make a language reference, languages kept, and the guards and limits of the verdict.
 REFERENCE_DOCS, MAX_LANGUAGES = 20, 200
 MIN_CHARS, MAX_CHAR_DISTANCE = 150, 0.32
-MIN_WORDS, MAX_WORD_DISTANCE = 60, 0.285
+MIN_WORDS, MAX_WORD_DISTANCE = 80, 0.285
 
 
 def repeated_words(words: Column, hashes: Column) -> Column:
