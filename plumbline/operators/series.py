@@ -26,7 +26,7 @@ class Series:
     ``order_by`` must be unique within a partition.  ``tracer`` records the actions' run times.
     """
 
-    def __init__(self, df: DataFrame, value: str, order_by: str | Sequence[str], partition_by: str | Sequence[str] = (), *, nulls: str = "drop", strategy: str = "auto", tracer=None, selectivity: float | None = None):
+    def __init__(self, df: DataFrame, value: str, order_by: str | Sequence[str], partition_by: str | Sequence[str] = (), *, nulls: str = "drop", strategy: str = "auto", tracer=None):
         kind = df.schema[value].dataType
         if not isinstance(kind, (T.FloatType, T.DoubleType)):
             raise UnsupportedDTypeError(f"{value} is {kind.simpleString()}; float or double is needed")
@@ -34,7 +34,7 @@ class Series:
         self.value = value
         self.order = [order_by] if isinstance(order_by, str) else list(order_by)
         self.by = [partition_by] if isinstance(partition_by, str) else list(partition_by)
-        self.strategy, self.tracer, self._estimate = strategy, tracer, selectivity
+        self.strategy, self.tracer = strategy, tracer
         if df.schema[value].nullable:
             held = F.col(value).isNotNull()
             df = df.where(held) if nulls == "drop" else df.withColumn(value, F.when(held, F.col(value)).otherwise(F.raise_error(F.lit(f"{value} has nulls"))))

@@ -13,7 +13,7 @@ from plumbline.operators.prefix import prefix_sums
 from plumbline.operators.series import Series
 from plumbline.plans.regression import bootstrap_intervals, regression_report, shapes_for_remediation
 from plumbline.plans.remediation import copy_cost, remediation
-from plumbline.plans.selector import select_kernel
+from plumbline.plans.selector import select_kernel, selected
 from plumbline.sources import traces as tr
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -374,6 +374,21 @@ def kernel_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", select_kernel(operator, F.col("event_id") % 20 * 500_000, F.col("user_id") % 9, F.col("value") / 400).alias("kernel"))
 
 
+@query(
+    _TRACES
+    + f""", h AS (SELECT 'filter' AS operator, dtype, row_count, avg(selectivity) AS s FROM traces WHERE operator = 'filter' AND selectivity IS NOT NULL GROUP BY dtype, row_count)
+ SELECT {_KEYS}, round(s, 9) AS selectivity, CASE WHEN operator = 'reduction' OR operator = 'filter' AND coalesce(s, 0.5) BETWEEN 0.3 AND 0.7 THEN 'avx2' ELSE 'scalar' END AS kernel FROM (SELECT DISTINCT {_KEYS} FROM traces) LEFT JOIN h USING ({_KEYS})"""
+)
+def kernel_selection_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = history(spark, sf_dir)
+    return selected(h.select(*tr.KEY).distinct(), h, 8).withColumn("selectivity", F.round("selectivity", 9))
+
+
+@query(_TRACES + f"SELECT {_KEYS}, call_site, count(*) AS n FROM traces WHERE run_label = '{BASELINE}' GROUP BY {_KEYS}, call_site")
+def trace_samples_by_call_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tr.samples(history(spark, sf_dir), BASELINE, by_call_site=True).select(*tr.KEY, "call_site", "n")
+
+
 @query(_TRACES + "SELECT DISTINCT dtype, row_count, row_count * CASE dtype WHEN 'float64' THEN 8 ELSE 4 END / 2.0::DOUBLE AS copy_cost_ns FROM traces")
 def copy_cost_ns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history(spark, sf_dir).select("dtype", "row_count").distinct().withColumn("copy_cost_ns", copy_cost(F.col("row_count"), F.col("dtype"), 2.0))

@@ -135,9 +135,9 @@ def labelled(traces: DataFrame, label: str) -> DataFrame:
     return traces.where(F.col("run_label") == label)
 
 
-def samples(traces: DataFrame, label: str) -> DataFrame:
-    """The run times of each operator, dtype and row count under a label."""
-    return labelled(traces, label).groupBy(*KEY).agg(F.sort_array(F.collect_list("runtime_ns")).alias("samples"), F.count("*").alias("n"))
+def samples(traces: DataFrame, label: str, *, by_call_site: bool = False) -> DataFrame:
+    """The run times of each operator, dtype and row count under a label, or of each of their call sites."""
+    return labelled(traces, label).groupBy(*KEY, *["call_site"] * by_call_site).agg(F.sort_array(F.collect_list("runtime_ns")).alias("samples"), F.count("*").alias("n"))
 
 
 def fingerprints(traces: DataFrame, label: str) -> DataFrame:

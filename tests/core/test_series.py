@@ -162,3 +162,11 @@ def test_stream(spark, tmp_path):
 def test_generated_prices(spark):
     rows = prices.generate(spark, 500, 3).orderBy("idx").collect()
     assert len(rows) == 500 and all(r["price"] > 0 for r in rows)
+
+
+def test_sweep(spark, tmp_path):
+    from plumbline.plans.characterize import sweep
+
+    sweep(spark, (200,), selectivities=(0.5,), windows=(5,), repeats=2).coalesce(1).write.csv(str(tmp_path / "sweep"), header=True)
+    rows = spark.read.csv(str(tmp_path / "sweep"), header=True).collect()
+    assert len(rows) == 8 and {r["operation"] for r in rows} == {"reduction", "projection", "filter", "rolling"}
