@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import columns, ship
+from plumbline.llm.common import columns, ship, slices
 
 #: Items of one block, whose index is sent to all executors; more items make more blocks.
 BLOCK_ITEMS = 20_000
@@ -176,7 +176,7 @@ class Index:
 def _searched(index, limit: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Index = index.value
-        for batch in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):
+        for batch in slices(batches, 2000):
             if found := own.matches(batch.column(1).to_pylist(), limit):
                 c = list(zip(*found))
                 item = pa.array(c[1])

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from plumbline.llm.common import columns, guarded, ship, table
+from plumbline.llm.common import columns, guarded, ship, slices, table
 from plumbline.llm.components import components
 from plumbline.llm.shingles import digest, mix, shingle_sets
 
@@ -46,7 +46,7 @@ def _profile(width: int, id_type: pa.DataType):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uses = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             sets = shingle_sets(batch.column(1).to_pylist(), width)
             n = len(sets)
             full = [h for h in sets if h.size]
@@ -87,7 +87,7 @@ def _prefixes(width: int, num: int, den: int, sketch):
         noise = float(uses.mean())
         doubt = noise**0.5  # what the sketch can't tell from noise
         seeds = [np.uint64(0x5851F42D4C957F2D * (j + 1) % 2**64) for j in range(BANDS)]
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for h in shingle_sets(batch.column(0).to_pylist(), width):
                 if not h.size:
@@ -113,7 +113,7 @@ def _sets(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in slices(batches):
             own = []
             for c, h in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), width)):
                 if c not in seen and digest(h)[0] == c:
