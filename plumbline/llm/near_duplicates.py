@@ -170,7 +170,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     keyed = classes.select("cls", "weight", "bands", F.posexplode(F.slice("bands", 1, KEYS)).alias("band", "key"))
     centres = keyed.groupBy("band", "key").agg(F.count("*").alias("size"), F.max(F.struct("weight", "cls", "bands")).alias("centre")).where(F.col("size") > LARGE_GROUP)
     alike = F.aggregate(F.zip_with("bands", "centre.bands", lambda p, q: (p == q).cast("int")), F.lit(0), lambda p, q: p + q)
-    stars = keyed.join(centres, ["band", "key"]).where((F.col("cls") != F.col("centre.cls")) & (alike >= AGREE))
+    centres = table(centres, "centres")  # of large groups only
+    stars = keyed.join(guarded(centres), ["band", "key"]).where((F.col("cls") != F.col("centre.cls")) & (alike >= AGREE))
     stars = stars.select(F.least("cls", "centre.cls").alias("a"), F.greatest("cls", "centre.cls").alias("b")).distinct()
     stars = _verified(stars, rows, firsts, width, num, den, "star")
     labels = components(stars)
