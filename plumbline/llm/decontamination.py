@@ -1,17 +1,16 @@
-"""Benchmark decontamination under edit distance.
-
-Windows as long as an item are placed where words of a document agree with an item's: one pair of
-neighbouring uncommon words, or two pairs on about one diagonal.  The CGK random walk copies a
-string symbol by symbol, staying or moving on by a random bit for each step and symbol, so that
-strings of small edit distance become strings of small Hamming distance.  As walks that an edit has
-parted may stay apart, they start at the agreeing words, in items at each word.  Repeated bit
-sampling, over short and long reaches, finds which of the items with these words a window may
-hold; candidates are verified exactly, by the least edit distance of the item to any stretch of the widened window.
+"""Benchmark decontamination under edit distance, without loss up to the limit.
+
+An item of m bytes that is held with e edits at most is cut into more than e pieces of four bytes
+(fewer in very short items).  An edit harms one piece at most, so a known number of pieces is
+unharmed in the text, and they lie within e + 1 neighbouring diagonals, as each edit moves the
+diagonal by one at most.  Counts of agreeing pieces by item and range of diagonals thus leave no
+held item out; pieces that are everywhere are not counted, and not asked for either.  In such a
+range the least edits of the item's stretches of up to 63 bytes, each by itself, may not exceed e.
+What is left is verified exactly, by the least edit distance of the item to any stretch of the window.
 """
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -25,11 +24,13 @@ from plumbline.llm.common import columns, ship, slices
 
 #: Items of one block, whose index is sent to all executors; more items make more blocks.
 BLOCK_ITEMS = 20_000
-#: Independent walks, sampled places of a key, Hamming share of a pair within a table's reach, the
-#: recall for which the number of tables is set, and the tables' reaches in steps of the walk.
-WALKS, PLACES, HAMMING, RECALL, REACHES = 4, 4, 0.3, 0.99, (24, 48, 96, 192)
-#: Anchors of a window that are embedded at most, and the share of items from which a word is common.
-ANCHORS, COMMON = 6, 0.03
+#: Items counted at once, and bytes of text.
+GROUP_ITEMS, PART_BYTES = 256, 1 << 16
+#: Bytes of a piece at most, bytes of a searched stretch at most, searches done at once; how much more
+#: often pieces come in a text of the item's language than in all items.
+PIECE, STRETCH, SEARCHES, LANGUAGES = 4, 63, 2048, 6
+#: Diagonals are counted in steps of the power of two of e's highest bit, halved COARSE - 1 times.
+COARSE = 2
 _PUNCTUATION = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -66,109 +67,200 @@ def least_edits(pattern: bytes, text: bytes) -> tuple[int, int]:
     return best, end
 
 
+def _pieces_of(data: np.ndarray, q: int) -> np.ndarray:
+    """The ``q`` bytes from each place on, as one number."""
+    out = np.zeros(max(0, data.size - q + 1), np.uint32)
+    for k in range(q):
+        out |= data[k : k + out.size].astype(np.uint32) << np.uint32(8 * k)
+    return out
+
+
+def _hashed(pieces: np.ndarray) -> np.ndarray:
+    """18 bits of each piece; equal ones of different pieces make more counts, never fewer."""
+    return (pieces * np.uint32(0x9E3779B1)) >> np.uint32(14)
+
+
+def _chosen(pattern: bytes, q: int, edits: int, rate: dict[int, float]) -> np.ndarray:
+    """Places of disjoint pieces, more than ``edits``: those of which the fewest come by chance, less one for each.
+
+    ``rate`` tells how often a piece comes by chance; a wrong rate costs time only.
+    """
+    own = _pieces_of(np.frombuffer(pattern, np.uint8), q).tolist()
+    cost, taken = [0.0] * (len(pattern) + 1), [False] * (len(pattern) + 1)
+    for k in range(1, len(pattern) + 1):
+        cost[k] = cost[k - 1]
+        if k >= q and (c := cost[k - q] + rate[own[k - q]] * edits - 1) < cost[k]:
+            cost[k], taken[k] = c, True
+    out, k = [], len(pattern)
+    while k > 0:
+        if taken[k]:
+            out.append(k - q)
+        k -= q if taken[k] else 1
+    return np.array(out[::-1] if len(out) > edits else range(0, len(pattern) - q + 1, q))
+
+
+class Group:
+    """Some items with pieces of one size, and where their pieces lie; items of one range width follow each other."""
+
+    def __init__(self, q: int, items: list[tuple[int, bytes, int, int, int]], rate: dict[int, float]):
+        self.q, self.items = q, np.array([k for k, *_ in items])
+        self.size = np.array([len(p) for _, p, *_ in items])
+        places = [_chosen(p, q, e, rate) for _, p, e, *_ in items]
+        self.need = np.array([at.size - e for (_, _, e, *_), at in zip(items, places)])
+        self.shift = np.array([shift for *_, shift, _ in items])
+        self.ranges = np.array([ranges for *_, ranges in items])
+        self.longest = int(self.size.max())
+        pieces = _hashed(np.concatenate([_pieces_of(np.frombuffer(p, np.uint8), q)[at] for (_, p, *_), at in zip(items, places)]))
+        order = np.argsort(pieces, kind="stable")
+        self.uses = np.bincount(pieces, minlength=1 << 18)
+        self.starts = np.cumsum(self.uses) - self.uses
+        self.item = np.repeat(np.arange(len(items)), [x.size for x in places])[order]
+        self.ahead = self.longest - np.concatenate(places)[order]
+
+    def ranges_in(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, low, high) of the ranges of diagonals of ``data`` outside of which no item can be held."""
+        own = _hashed(_pieces_of(data, self.q))
+        uses = self.uses[own]
+        at = np.flatnonzero(uses)
+        number, uses = own[at], uses[at]
+        place = np.arange(uses.sum()) + np.repeat(self.starts[number] - (np.cumsum(uses) - uses), uses)
+        width = ((data.size + self.longest) >> self.shift) + self.ranges + 1
+        base = np.append(0, np.cumsum(width))
+        key = np.repeat(at, uses) + self.ahead[place]
+        key >>= self.shift[self.item][place]
+        key += base[self.item][place]
+        counts = np.bincount(key, minlength=base[-1]).astype(np.int32)
+        out = [(np.empty(0, np.int64),) * 3]
+        first = 0
+        while first < self.items.size:
+            shift, r = int(self.shift[first]), int(self.ranges[first])
+            last = first
+            while last < self.items.size and self.shift[last] == shift and self.ranges[last] == r:
+                last += 1
+            table = counts[base[first] : base[last]].reshape(last - first, -1)
+            sums = table[:, : table.shape[1] - r + 1].copy()
+            for k in range(1, r):
+                sums += table[:, k : k + sums.shape[1]]
+            row, k = np.nonzero(sums >= self.need[first:last, None])
+            if row.size:
+                new = np.append(True, (np.diff(row) != 0) | (np.diff(k) != 1))
+                run = np.flatnonzero(new)
+                new |= (np.arange(row.size) - np.repeat(run, np.diff(np.append(run, row.size)))) % r == 0  # long runs are cut
+                ends = np.append(np.flatnonzero(new)[1:] - 1, row.size - 1)
+                out.append((self.items[row[new] + first], (k[new] << shift) - self.longest, ((k[ends] + r) << shift) - self.longest))
+            first = last
+        return tuple(map(np.concatenate, zip(*out)))
+
+
 class Index:
-    """The items' word pairs and the tables of their sampled embeddings."""
+    """The items' pieces in groups, and the stretches that are searched for."""
 
-    def __init__(self, items: list[tuple[object, str]], seed: int = 11):
+    def __init__(self, items: list[tuple[object, str]], limit: float = 0.2):
         self.items = [(i, w, b" ".join(w)) for i, t in items if (w := words_of(t))]
-        rng = np.random.Generator(np.random.PCG64(seed))
-        per_reach = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - HAMMING) ** PLACES))
-        self.moves = rng.integers(0, 2, (WALKS, max(REACHES), 256), dtype=np.int8)
-        self.tables = [(t % WALKS, np.sort(rng.integers(0, reach, PLACES))) for reach in REACHES for t in range(per_reach)]
-        shared: dict[tuple[bytes, bytes], list[tuple[int, int]]] = defaultdict(list)
-        uses: dict[bytes, int] = defaultdict(int)
-        for k, (_, w, _) in enumerate(self.items):
-            for j, pair in enumerate(zip(w, w[1:])):
-                shared[pair].append((k, j))
-            for word in set(w):
-                uses[word] += 1
-        most = max(2, len(self.items) // 100)
-        rare = [sum(len({i for i, _ in shared[p]}) <= most for p in zip(w, w[1:])) for _, w, _ in self.items]
-        self.seeds = {p: kept for p, v in shared.items() if (kept := [(k, j) for k, j in v if len({i for i, _ in v}) <= most or rare[k] < 4])}
-        often = max(2, COMMON * len(self.items))
-        self.strong = {p for p in self.seeds if uses[p[0]] <= often and uses[p[1]] <= often}
-        self.meant = {p: {k for k, _ in v} for p, v in self.seeds.items()}
-        self.single = {w[0]: k for k, (_, w, _) in enumerate(self.items) if len(w) == 1}
-        own = [(k, b" ".join(w[j : j + max(REACHES)])) for k, (_, w, _) in enumerate(self.items) for j in range(max(1, len(w) - 1))]
-        found: dict[int, set[int]] = defaultdict(set)
-        for at in range(0, len(own), 4096):
-            part = own[at : at + 4096]
-            for (_, n), key in np.ndenumerate(self.keys([x for _, x in part])):
-                found[int(key)].add(part[n][0])
-        self.buckets = dict(found)
-        self.known = np.sort(np.fromiter(self.buckets, np.uint64, len(self.buckets)))
-
-    def embedded(self, strings: list[bytes], walk: int, steps: int) -> np.ndarray:
-        """The walk over all strings at once; ended strings give zeros."""
-        longest = max(map(len, strings)) + 1
-        text = np.zeros((len(strings), longest), np.uint8)
-        for k, s in enumerate(strings):
-            text[k, : len(s)] = np.frombuffer(s, np.uint8)
-        at, rows, out = np.zeros(len(strings), np.int64), np.arange(len(strings)), np.zeros((len(strings), steps), np.uint8)
-        for j in range(steps):
-            c = text[rows, np.minimum(at, longest - 1)]
-            out[:, j] = c
-            at += self.moves[walk, j, c]
+        self.limit = limit
+        shapes: dict[int, list[tuple[int, bytes, int, int, int]]] = defaultdict(list)
+        self.always = []  # a limit of 1 or more: nothing need be left of the item
+        for k, (_, _, p) in enumerate(self.items):
+            e = int(limit * len(p))
+            shift = max(0, e.bit_length() - COARSE)
+            if q := min(PIECE, len(p) // (e + 1)):
+                shapes[q].append((k, p, e, shift, -(-e >> shift) + 1))
+            else:
+                self.always.append(k)
+        self.groups = []
+        for q, own in sorted(shapes.items()):
+            own.sort(key=lambda x: (x[3], x[4], x[0]))
+            every, n = np.unique(np.concatenate([_pieces_of(np.frombuffer(p, np.uint8), q) for _, p, *_ in own]), return_counts=True)
+            rate = dict(zip(every.tolist(), (LANGUAGES * n / n.sum()).tolist()))
+            self.groups += [Group(q, own[at : at + GROUP_ITEMS], rate) for at in range(0, len(own), GROUP_ITEMS)]
+        self.reach = max((len(p) + int(limit * len(p)) for _, _, p in self.items), default=0)
+        cuts = [np.linspace(0, len(p), -(-len(p) // STRETCH) + 1).astype(int) for _, _, p in self.items]
+        self.first = np.append(0, np.cumsum([c.size - 1 for c in cuts])).astype(int)
+        stretches = [p[a:b] for (_, _, p), c in zip(self.items, cuts) for a, b in zip(c, c[1:])]
+        self.size = np.array([len(p) for _, _, p in self.items], np.int64)
+        self.most = np.array([int(limit * len(p)) for _, _, p in self.items], np.int64)
+        self.offset = np.array([a for c in cuts for a in c[:-1]], np.int64)
+        self.length = np.array([len(x) for x in stretches], np.int64)
+        self.full = np.array([((1 << len(x)) - 1) << (64 - len(x)) for x in stretches], np.uint64)
+        self.equal = np.repeat(~self.full[:, None], 256, 1)  # the lowest bits agree with every symbol
+        for k, x in enumerate(stretches):
+            for j, c in enumerate(x):
+                self.equal[k, c] |= np.uint64(1 << (64 - len(x) + j))
+        self.equal = self.equal.reshape(-1)
+
+    def least(self, data: np.ndarray, stretch: np.ndarray, begin: np.ndarray, steps: np.ndarray) -> np.ndarray:
+        """The least edits of each stretch in the ``steps`` bytes from ``begin``, or fewer: Myers' bit vectors, many at once."""
+        order = np.argsort(steps, kind="stable")
+        out = np.zeros(stretch.size, np.int64)
+        one, top = np.uint64(1), np.uint64(63)
+        for at in range(0, order.size, SEARCHES):
+            own = order[at : at + SEARCHES]
+            s, where = stretch[own], begin[own]
+            row, up, down, score = s * 256, self.full[s], np.zeros(own.size, np.uint64), self.length[s]
+            best = score.copy()
+            for _ in range(int(steps[own[-1]])):
+                eq = self.equal[row + data[where]]
+                x = (((eq & up) + up) ^ up) | eq
+                plus, minus = down | ~(x | up), up & x
+                score += (plus >> top).view(np.int64)
+                score -= (minus >> top).view(np.int64)
+                y = eq | down
+                plus <<= one
+                up, down = (minus << one) | ~(y | plus), plus & y
+                np.minimum(best, score, out=best)
+                where += 1
+            out[own] = best
         return out
 
-    def keys(self, strings: list[bytes]) -> np.ndarray:
-        """A key for each table and string: the table and the symbols that it samples."""
-        out = [self.embedded([s[: max(REACHES)] for s in strings], walk, max(REACHES)) for walk in range(WALKS)]
-        sampled = [np.ascontiguousarray(out[walk][:, places]).view(np.uint32)[:, 0] for walk, places in self.tables]
-        return np.stack([x.astype(np.uint64) | np.uint64(t << 32) for t, x in enumerate(sampled)])
-
-    def placed(self, words: list[bytes]) -> list[tuple[int, int, int, list[int]]]:
-        """(first word, words, words on either side, anchors) of the windows worth embedding."""
-        seeds = self.seeds
-        by_item: dict[int, list[tuple[int, int, bool]]] = defaultdict(list)
-        for k, p in enumerate(zip(words, words[1:])):
-            if p in seeds:
-                for item, j in seeds[p]:
-                    by_item[item].append((k - j, j, p in self.strong))
-        out = [(k, 1, 0, [k]) for k, w in enumerate(words) if w in self.single] if self.single else []
-        for item, found in by_item.items():
-            m = len(self.items[item][1])
-            slack, need = max(2, m // 5), min(2, m - 1)
-            found.sort()
-            run = [found[0]]
-            for x in [*found[1:], None]:
-                if x is not None and x[0] - run[-1][0] <= slack:
-                    run.append(x)
-                    continue
-                if len({j for _, j, _ in run}) >= need or any(strong for _, _, strong in run):
-                    anchors = sorted({d + j for d, j, _ in run})
-                    step = max(1, -(-len(anchors) // ANCHORS))
-                    first, last = run[0][0], run[-1][0]
-                    out.append((max(0, first), m + last - first, slack, anchors[::step]))
-                if x is not None:
-                    run = [x]
+    def near(self, data: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The numbers of the ranges in which the stretches' least edits together are few enough."""
+        left, edits, k = np.arange(item.size), np.zeros(item.size, np.int64), 0
+        out = [left[:0]]
+        padded = np.append(data, np.zeros(STRETCH + 1 + int((high - low).max(initial=0)), np.uint8))
+        while left.size:
+            s = self.first[item[left]] + k
+            first = np.clip(low[left] + self.offset[s], begin[left], end[left])
+            last = np.clip(high[left] + self.offset[s] + self.length[s], first, end[left])
+            edits[left] += self.least(padded, s, first, last - first)
+            left = left[edits[left] <= self.most[item[left]]]
+            k += 1
+            done = self.first[item[left]] + k == self.first[item[left] + 1]
+            out.append(left[done])
+            left = left[~done]
+        return np.concatenate(out)
+
+    def found(self, texts: list[bytes]) -> set[tuple[int, int, int, int]]:
+        """(text, item, begin, end) of the windows that are worth verifying."""
+        starts = np.append(0, np.cumsum([len(x) + 1 for x in texts]))
+        data = np.frombuffer(b"\0".join([*texts, b""]), np.uint8)
+        out: set[tuple[int, int, int, int]] = set()
+        parts = range(0, max(1, data.size), PART_BYTES)
+        for group in self.groups:
+            got = [(item, low + at, high + at) for at in parts for item, low, high in [group.ranges_in(data[at : at + PART_BYTES + self.reach])]]
+            item, low, high = map(np.concatenate, zip(*got))
+            begin, end = np.clip(low, 0, data.size - 1), np.clip(high + self.size[item], 1, data.size)
+            a, b = np.searchsorted(starts, begin, "right") - 1, np.searchsorted(starts, end - 1, "right") - 1
+            n = b - a + 1  # a window across texts is cut at their ends
+            text = np.arange(n.sum()) + np.repeat(a - (np.cumsum(n) - n), n)
+            item, low, high = np.repeat(item, n), np.repeat(low, n), np.repeat(high, n)
+            begin, end = np.maximum(np.repeat(begin, n), starts[text]), np.minimum(np.repeat(end, n), starts[text + 1] - 1)
+            fits = np.flatnonzero(end - begin >= self.size[item] - self.most[item])
+            near = fits[self.near(data, item[fits], low[fits], high[fits], begin[fits], end[fits])]
+            begin, end = begin[near] - starts[text[near]], end[near] - starts[text[near]]
+            out.update(zip(text[near].tolist(), item[near].tolist(), begin.tolist(), end.tolist()))
         return out
 
     def matches(self, texts: list[str | None], limit: float) -> list[tuple[int, object, int, int, int]]:
         """(text, item id, first word, words, edits) of the best stretch for each item that a text holds."""
-        all_words = [words_of(t) for t in texts]
-        windows = [(n, *x) for n, words in enumerate(all_words) for x in (self.placed(words) if words else ())]
-        own = [(k, self.meant.get(tuple((w := all_words[x[0]])[at : at + 2])), b" ".join(w[at : at + max(REACHES)])) for k, x in enumerate(windows) for at in x[4]]
-        pairs: set[tuple[int, int]] = set()
-        for at in range(0, len(own), 4096):
-            part = own[at : at + 4096]
-            keys = self.keys([x for _, _, x in part])
-            place = np.minimum(np.searchsorted(self.known, keys), self.known.size - 1)
-            for t, n in zip(*np.nonzero(self.known[place] == keys)):
-                k, meant, _ = part[n]
-                found = self.buckets[int(keys[t, n])]
-                pairs.update((k, item) for item in (found if meant is None else found & meant))
+        whole = [b" ".join(words_of(t)) for t in texts]
+        windows = {(n, k, 0, len(x)) for n, x in enumerate(whole) if x for k in self.always} | self.found(whole)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for k, item in sorted(pairs):
-            n, a, m, slack, _ = windows[k]
+        for n, item, a, b in sorted(windows):
             _, w, pattern = self.items[item]
-            slack += max(0, len(w) - m)
-            first = max(0, a - slack)
-            wide = all_words[n][first : a + m + slack]
-            edits, end = least_edits(pattern, b" ".join(wide))
+            edits, end = least_edits(pattern, whole[n][a:b])
             if edits <= limit * len(pattern) and ((n, item) not in best or edits < best[n, item][2]):
-                last = first + b" ".join(wide)[:end].count(b" ")
-                begin = max(first, last + 1 - len(w))
+                last = whole[n].count(b" ", 0, a + end)
+                begin = max(0, last + 1 - len(w))
                 best[n, item] = (begin, last + 1 - begin, edits)
         return [(n, self.items[k][0], *best[n, k]) for n, k in sorted(best)]
 
@@ -205,7 +297,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
     out = None
     for block in range(blocks):
         own = bench.where(F.pmod(F.xxhash64("_id", "_text"), F.lit(blocks)) == block).orderBy("_id", "_text").collect()
-        index = spark.sparkContext.broadcast(Index([(r["_id"], r["_text"]) for r in own]))
+        index = spark.sparkContext.broadcast(Index([(r["_id"], r["_text"]) for r in own], limit))
         found = rows.mapInArrow(_searched(index, limit), schema)
         out = found if out is None else out.union(found)
     return out.select(F.col("_id").alias(id_col), F.col("_item").alias(item_id_col if item_id_col != id_col else f"{item_id_col}_item"), "word", "words", "edits")

@@ -317,3 +317,39 @@ def test_odd_and_empty_tables(spark, docs, empty):
     packed = packing.pack(rows, tokenizer=tokenizer("byte_bpe_50k.json"))
     assert packed.where("start = 0").count() == n
     assert packing.pack(empty, tokenizer=tokenizer("byte_bpe_50k.json")).count() == 0
+
+
+def test_decontamination_up_to_the_limit():
+    """No item is lost at the full limit, with edits spread evenly so that no word and few word parts survive; short items apart."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghijklmnoprstuvw", k=rng.randrange(2, 9))) for _ in range(400)]
+    for sizes in ((1, 6), (8, 25), (26, 60)):
+        items = [(k, " ".join(rng.choices(words, k=rng.randrange(*sizes)))) for k in range(60)]
+        index = decontamination.Index(items, 0.2)
+        texts, want = [], []
+        for k, text in items:
+            for spread in (True, False):
+                chars, edits = list(text), int(0.2 * len(text))
+                places = range(4, len(chars), 5) if spread else rng.sample(range(len(chars)), edits)
+                for j in list(places)[:edits]:
+                    chars[j] = rng.choice(["", "q", chars[j] + "q"]) if chars[j] != " " else " "
+                texts.append(" ".join([*rng.choices(words, k=40), "".join(chars), *rng.choices(words, k=40)]))
+                own = b" ".join(decontamination.words_of(texts[-1]))
+                least = brute.edit_distance(text.encode(), own)
+                if least <= 0.2 * len(text):
+                    want.append((len(texts) - 1, k, least))
+        got = {(n, i): edits for n, i, _, _, edits in index.matches(texts, 0.2)}
+        assert len(want) == 120 and all(got.get((n, k)) == least for n, k, least in want)
+
+
+def test_decontamination_finds_all_that_is_held():
+    """Over few words, against the least distance of every item to every text."""
+    rng = random.Random(6)
+    words = ["de", "la", "casa", "que", "cion", "ga", "ra", "mente", "os"]
+    items = [(k, " ".join(rng.choices(words, k=rng.randrange(1, 20)))) for k in range(50)] + [(99, "a")]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(0, 60))) for _ in range(80)] + [None, "", "a", "..."]
+    for limit in (0.0, 0.1, 0.2, 0.35, 1.0):
+        got = {(n, i): edits for n, i, _, _, edits in decontamination.Index(items, limit).matches(texts, limit)}
+        own = [b" ".join(decontamination.words_of(t)) for t in texts]
+        every = {(n, i): decontamination.least_edits(p.encode(), t)[0] for n, t in enumerate(own) if t for i, p in items}
+        assert got == {x: e for x, e in every.items() if e <= limit * len(dict(items)[x[1]])}
