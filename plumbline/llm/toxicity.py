@@ -23,10 +23,9 @@ from plumbline.llm.common import columns, ship, slices
 from plumbline.llm.shingles import blocks, word_hashes
 
 #: Hashed word features; labelled rows that are learned from at most; folds; training steps; penalty.
-FEATURE_BITS, TRAIN_ROWS, FOLDS, STEPS, PENALTY = 20, 6_000, 3, 100, 0.001
-#: Documents that a feature must occur in to be learned, and by how much its shares of the two
-#: classes must differ: the penalty leaves no weight to those that differ less.
-LEAST_USES, LEAST_GAP = 3, 0.05
+FEATURE_BITS, TRAIN_ROWS, FOLDS, STEPS, PENALTY = 20, 8_000, 3, 120, 0.001
+#: Documents that a feature must occur in to be learned.
+LEAST_USES = 3
 #: Probability from which a document is called toxic.
 THRESHOLD = 0.5
 #: Bytes of word beginnings that are features beside whole words: stems that inflected forms share.
@@ -108,15 +107,22 @@ def fit(x: Sparse, earlier: np.ndarray, y: np.ndarray, steps: int = STEPS, penal
     if positive in (0, x.n):
         return Link(np.zeros(1 << FEATURE_BITS), np.zeros(width), 30.0 if positive else -30.0)
     share = np.where(y > 0, n / (2 * positive), n / (2 * (n - positive)))
-    signed = np.where(y > 0, 1 / positive, -1 / (n - positive))
-    own = (np.abs(np.bincount(x.index, signed[x.row], 1 << FEATURE_BITS)) >= LEAST_GAP)[x.index]
+    # a weight stays 0 if neither class can ever pull by more than the penalty: nothing is lost with it
+    pull = [np.bincount(x.index, (share / n * side)[x.row], 1 << FEATURE_BITS) for side in (y > 0, y <= 0)]
+    own = (np.maximum(*pull) > penalty)[x.index]
     x = Sparse(x.index[own], x.row[own], x.n)
-    used, place = np.unique(x.index, return_inverse=True)  # the few features that are left, numbered anew
-    x = Sparse(place.reshape(-1).astype(np.int32), x.row, x.n)
-    w, c, b = np.zeros(used.size), np.zeros(width), 0.0
+    used, place = np.unique(x.index, return_inverse=True)  # the features that are left, numbered anew
+    # features of the same rows have the same weight, so one of them is fitted for all
+    mark = np.bincount(place.reshape(-1), np.random.Generator(np.random.PCG64(5)).random(x.n)[x.row], used.size)
+    _, first, same, many = np.unique(mark, return_index=True, return_inverse=True, return_counts=True)
+    number = np.full(used.size, -1, np.int32)
+    number[first] = np.arange(first.size)
+    own = number[place.reshape(-1)] >= 0
+    x = Sparse(number[place.reshape(-1)[own]], x.row[own], x.n)
+    w, c, b = np.zeros(first.size), np.zeros(width), 0.0
     seen, seen_c, seen_b = np.full(w.size, 1e-8), np.full(width, 1e-8), 1e-8
     for _ in range(steps):
-        error = share * (Link(w, c, b).scores(x, earlier) - y) / n
+        error = share * (Link(w * many, c, b).scores(x, earlier) - y) / n
         g = np.bincount(x.index, error[x.row], w.size)
         seen += g * g
         rate = 0.5 / np.sqrt(seen)
@@ -128,7 +134,7 @@ def fit(x: Sparse, earlier: np.ndarray, y: np.ndarray, steps: int = STEPS, penal
         g = error.sum()
         seen_b += g * g
         b -= 0.3 * g / np.sqrt(seen_b)
-    return Link(np.bincount(used, w, 1 << FEATURE_BITS), c, b)
+    return Link(np.bincount(used, w[same.reshape(-1)], 1 << FEATURE_BITS), c, b)
 
 
 def fit_chain(x: Sparse, targets: np.ndarray, fold: np.ndarray) -> list[Link]:

@@ -353,3 +353,19 @@ def test_decontamination_finds_all_that_is_held():
         own = [b" ".join(decontamination.words_of(t)) for t in texts]
         every = {(n, i): decontamination.least_edits(p.encode(), t)[0] for n, t in enumerate(own) if t for i, p in items}
         assert got == {x: e for x, e in every.items() if e <= limit * len(dict(items)[x[1]])}
+
+
+def test_toxicity_learns_rare_cues():
+    """A cue of 4% of the toxic documents is learned, however common the others are."""
+    rng = random.Random(8)
+    fill = [f"filler{k}" for k in range(300)]
+    texts, toxic = [], []
+    for k in range(1500):
+        bad = k % 3 == 0
+        cue = ["rarecue"] if k % 75 == 0 else rng.sample(["usual", "common", "often"], 2) if bad else []
+        texts.append(" ".join([*rng.sample(fill, 30), *cue]))
+        toxic.append(float(bad))
+    x = toxicity.Sparse.of([w.astype(np.int32) for w in toxicity.features(texts)]).frequent(toxicity.LEAST_USES)
+    link = toxicity.fit(x, np.zeros((x.n, 0)), np.array(toxic))
+    told = link.scores(toxicity.Sparse.of(toxicity.features([" ".join([*rng.sample(fill, 30), *cue]) for cue in (["rarecue"], []) for _ in range(40)])), np.zeros((80, 0)))
+    assert (told[:40] >= 0.5).mean() >= 0.9 and (told[40:] >= 0.5).mean() <= 0.1
