@@ -2,7 +2,7 @@
 
 Counts of a document's character classes and of common words are compared with those of each
 language, summed over all documents, by Jensen-Shannon distance.  The nearest language counts, so
-a wrong label does no harm.  Short texts, whose histograms say little, are left to the base rules.
+a wrong label does no harm, but a language without a reference is not judged by others.  Short texts, whose histograms say little, are left to the base rules.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ COMMON = {
     "es": ("de", "la", "que", "el", "en", "y", "los", "por"),
 }
 _LIST = sorted({w for words in COMMON.values() for w in words})
-#: Documents that make a language reference, languages kept, and the guards and limits of the verdict.
-REFERENCE_DOCS, MAX_LANGUAGES = 20, 200
+#: Documents that make a language reference, and the guards and limits of the verdict.
+REFERENCE_DOCS = 20
 MIN_CHARS, MAX_CHAR_DISTANCE = 150, 0.32
 MIN_WORDS, MAX_WORD_DISTANCE = 80, 0.285
 
@@ -93,36 +93,38 @@ def divergence(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / 2))
 
 
-def references(measures: DataFrame, lang_col: str) -> list[tuple[list[float], list[float]]]:
-    """Both histograms of each language: sums over all its documents, for MAX_LANGUAGES at most."""
+def references(measures: DataFrame, lang_col: str) -> list[tuple[str, list[float], list[float]]]:
+    """Each language of REFERENCE_DOCS documents and both its histograms: sums over all its documents."""
     n_chars, n_words = len(CLASSES) + 3, len(_LIST) + 1
     sums = [F.sum(F.get("chars", F.lit(k))).alias(f"c{k}") for k in range(n_chars)] + [F.sum(F.get("words", F.lit(k))).alias(f"w{k}") for k in range(n_words)]
     own = measures.where(F.col(lang_col).isNotNull()).groupBy(lang_col).agg(F.count("*").alias("n"), *sums).where(F.col("n") >= REFERENCE_DOCS)
     out = []
-    for r in own.orderBy(F.desc("n"), lang_col).limit(MAX_LANGUAGES).collect():
+    for r in own.orderBy(F.desc("n"), lang_col).collect():
         c, w = [r[f"c{k}"] for k in range(n_chars)], [r[f"w{k}"] for k in range(n_words)]
         if sum(c) and sum(w):
-            out.append(([x / sum(c) for x in c], [x / sum(w) for x in w]))
+            out.append((r[lang_col], [x / sum(c) for x in c], [x / sum(w) for x in w]))
     return out
 
 
-def assess(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def assess(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", judge_unknown: bool = False) -> DataFrame:
     """One row per document: the base counts, ``base_failed``, both distances and ``kept``.
 
     Base rules: fewer than 10 words, or over a fifth of the words in repeated 5-word windows.  A
     text of MIN_CHARS characters is also rejected for its distance from every language by character
     classes, one of MIN_WORDS words for that by common words.  Null and empty texts have no words
     and fail; repeated rows are judged each; null ids and languages are kept; without a ``lang_col``
-    or languages of REFERENCE_DOCS documents only the base rules decide; further columns are not read.
+    or languages of REFERENCE_DOCS documents only the base rules decide, as they do for documents of
+    no language or one of fewer documents, unless ``judge_unknown``; further columns are not read.
     """
     lang = docs[lang_col].cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
     rows = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text"), lang.alias("_lang"))
     seen = table(measured(rows, keep=("_lang",)), "quality")
     known = references(seen, "_lang")
-    shares = seen.withColumns({"_c": _shares(F.col("chars")), "_d": _shares(F.col("words"))})
-    numbers = lambda xs: F.array(*map(F.lit, xs))
-    nearest = lambda c, at: F.array_min(F.transform(F.array(*(numbers(r[at]) for r in known)), lambda r: divergence(F.col(c), r))) if known else F.lit(0.0)
-    told = shares.withColumns({"char_distance": nearest("_c", 0), "word_distance": nearest("_d", 1)})
+    own = docs.sparkSession.createDataFrame([tuple([r[at] for r in known] for at in range(3))], "_names array<string>, _chars array<array<double>>, _words array<array<double>>")
+    shares = seen.withColumns({"_c": _shares(F.col("chars")), "_d": _shares(F.col("words"))}).crossJoin(F.broadcast(own))
+    nearest = lambda c, refs: F.coalesce(F.array_min(F.transform(refs, lambda r: divergence(F.col(c), r))), F.lit(0.0))
+    told = shares.withColumns({"char_distance": nearest("_c", F.col("_chars")), "word_distance": nearest("_d", F.col("_words"))})
+    judged = F.lit(True) if judge_unknown else F.coalesce(F.array_contains("_names", F.col("_lang")), F.lit(False))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     odd = ((F.col("n_chars") >= MIN_CHARS) & (F.col("char_distance") > MAX_CHAR_DISTANCE)) | ((F.col("n_words") >= MIN_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE))
-    return told.select(F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~odd).alias("kept"), F.round("char_distance", 9).alias("char_distance"), F.round("word_distance", 9).alias("word_distance"))
+    return told.select(F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~(judged & odd)).alias("kept"), F.round("char_distance", 9).alias("char_distance"), F.round("word_distance", 9).alias("word_distance"))

@@ -40,7 +40,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.assess(_documents(spark, sf_dir))
+    return quality.assess(_documents(spark, sf_dir), judge_unknown=True)  # as its SQL does
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -369,3 +369,22 @@ def test_toxicity_learns_rare_cues():
     link = toxicity.fit(x, np.zeros((x.n, 0)), np.array(toxic))
     told = link.scores(toxicity.Sparse.of(toxicity.features([" ".join([*rng.sample(fill, 30), *cue]) for cue in (["rarecue"], []) for _ in range(40)])), np.zeros((80, 0)))
     assert (told[:40] >= 0.5).mean() >= 0.9 and (told[40:] >= 0.5).mean() <= 0.1
+
+
+def test_quality_judges_no_language_by_another(spark):
+    """19 or 20 documents of a language, or no language at all, reject none of its clean documents; nor does a rank past 200."""
+    rng = random.Random(2)
+    english = ["the", "of", "and", "to", "house", "river", "walk", "green", "letter", "stone"]
+    other = [f"\u0434\u043e\u043c{chr(0x430 + k)}" for k in range(30)]
+    rows = [(k, " ".join(rng.choices(english, k=100)), "en") for k in range(30)]
+    rows += [(100 + k, " ".join(rng.choices(other, k=100)), "ru") for k in range(19)]
+    rows += [(200 + k, " ".join(rng.choices(other, k=100)), None) for k in range(3)]
+    schema = "doc_id long, text string, lang string"
+    assert all(r["kept"] for r in quality.assess(spark.createDataFrame(rows, schema)).collect())
+    rows += [(300, " ".join(rng.choices(other, k=100)), "ru")]
+    odd = (400, " ".join(rng.choices(["@@~", "^^_"], k=100)), "ru")
+    got = by_id(quality.assess(spark.createDataFrame([*rows, odd], schema)))
+    assert [i for i, r in got.items() if not r["kept"]] == [400]
+    many = [(1000 * n + k, " ".join(rng.choices(english, k=20)), f"l{n}") for n in range(200) for k in range(21)]
+    got = by_id(quality.assess(spark.createDataFrame([*rows, *many], schema)))
+    assert all(got[i]["kept"] for i, _, _ in rows)
