@@ -36,10 +36,30 @@ def _card(hit: Column) -> Column:
 
 
 def _iban(hit: Column) -> Column:
-    account = F.regexp_replace(hit, " ", "")
-    return F.length(account).between(15, 34) & mod_97(account)
-
-
+    return mod_97(F.regexp_replace(hit, " ", ""))
+
+
+# The length of an IBAN by country, from the public registry of ISO 13616.
+IBAN_COUNTRIES = {
+    15: ("NO",),
+    16: ("BE",),
+    18: ("DK", "FI", "FK", "FO", "GL", "NL", "SD"),
+    19: ("MK", "SI"),
+    20: ("AT", "BA", "EE", "KZ", "LT", "LU", "MN", "XK"),
+    21: ("CH", "CR", "HR", "LI", "LV"),
+    22: ("BG", "BH", "DE", "GB", "GE", "IE", "ME", "RS", "VA"),
+    23: ("AE", "GI", "IL", "IQ", "OM", "SO", "TL"),
+    24: ("AD", "CZ", "DZ", "ES", "MD", "PK", "RO", "SA", "SE", "SK", "TN", "VG"),
+    25: ("LY", "PT", "ST"),
+    26: ("IS", "TR"),
+    27: ("BI", "DJ", "FR", "GR", "IT", "MC", "MR", "SM"),
+    28: ("AL", "AZ", "BY", "CY", "DO", "GT", "HU", "LB", "NI", "PL", "SV"),
+    29: ("BR", "EG", "PS", "QA", "UA"),
+    30: ("JO", "KW", "MU", "YE"),
+    31: ("MT", "SC"),
+    32: ("LC",),
+    33: ("RU",),
+}
 _LOCAL = "A-Za-z0-9._%+-"
 _BYTE = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: The kinds, in the order in which spans of one start are listed.  Look-behinds and possessive
@@ -49,7 +69,7 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", lambda hit: hit.rlike(rf"^{_BYTE}(?:\.{_BYTE}){{3}}$")),
     Kind("card", r"[0-9](?:[ -]?[0-9])++", _card),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda hit: F.length(_digits(hit)).between(10, 15)),
-    Kind("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+", _iban, base=False),
+    Kind("iban", "|".join(f"(?:{'|'.join(c)})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_COUNTRIES.items()), _iban, base=False),
 )
 #: Score of a kind by itself and beside one of its words.
 SCORES = {"email": (0.9, 1.0), "ip": (0.5, 0.8), "card": (0.8, 0.95), "phone": (0.6, 0.9), "iban": (0.9, 1.0)}

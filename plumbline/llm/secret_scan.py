@@ -8,8 +8,6 @@ mandatory trigrams scan all texts.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,43 +16,49 @@ from plumbline.llm.spans import Kind, counted, listed, located, parts
 from plumbline.llm.trigrams import query
 
 _ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_BEGIN, _END = (rf"-----{side} [A-Z0-9 ]*+(?<=PRIVATE KEY)-----" for side in ("BEGIN", "END"))
 #: The rules, in the order in which spans of one start are listed.
 RULES = (
     Kind("assign", _ASSIGN, lambda hit: F.length(F.regexp_extract(hit, _ASSIGN, 2)) >= 12),
     Kind("access", r"AKIA[A-Z0-9]{14,}+"),
     Kind("hex", r"(?<![0-9a-f])[0-9a-f]{16,}+"),
-    Kind("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", base=False),
-    Kind("github", r"gh[pousr]_[A-Za-z0-9]{36,255}", base=False),
-    Kind("slack", r"xox[abprs]-[A-Za-z0-9-]{10,255}", base=False),
+    # through the END line, or else through the lines of the key that follow at once
+    Kind("private_key", _BEGIN + r"(?:(?:-?[A-Za-z0-9+/=:,.\\\s]++)*+" + _END + r"|(?:\s*+[A-Za-z0-9+/=]{16,}+)*+)", base=False),
+    Kind("github", r"gh[pousr]_[A-Za-z0-9]{36,}+", base=False),
+    Kind("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}+", base=False),
     Kind("google", r"AIza[A-Za-z0-9_-]{35}", base=False),
-    Kind("jwt", r"eyJ[A-Za-z0-9_-]{10,255}\.eyJ[A-Za-z0-9_-]{10,999}\.[A-Za-z0-9_-]{5,999}", base=False),
+    Kind("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{5,}+", base=False),
 )
-_WORD_BITS = 62
 
 
-def postings(rows: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """(_id, trigram): the number in ``vocabulary`` of each trigram that a text has."""
-    low = rows.select("_id", F.lower("_text").alias("_low"))
-    wanted = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(t).alias("t")) for k, t in enumerate(vocabulary)))
-    held = F.filter(wanted, lambda x: F.contains(F.col("_low"), x["t"]))
-    return low.select("_id", F.explode(F.transform(held, lambda x: x["k"])).alias("trigram"))
+def queries(rules: tuple[Kind, ...] = RULES) -> dict[int, frozenset[frozenset[str]]]:
+    """The Boolean trigram query of each rule that has one: alternatives, each of trigrams that must all occur."""
+    return {k: q for k, r in enumerate(rules) if (q := query(r.pattern)) is not None}
 
 
-def candidates(rows: DataFrame, rules: tuple[Kind, ...] = RULES) -> DataFrame:
-    """(_id, rules): the numbers of the indexed rules that a document may match."""
-    queries = {k: q for k, r in enumerate(rules) if (q := query(r.pattern)) is not None}
-    vocabulary = sorted({t for q in queries.values() for term in q for t in term})
-    number = {t: k for k, t in enumerate(vocabulary)}
-    words = range(-(-len(vocabulary) // _WORD_BITS))
-    bit = lambda w: F.bit_or(F.when((F.col("trigram") >= w * _WORD_BITS) & (F.col("trigram") < (w + 1) * _WORD_BITS), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("trigram") - w * _WORD_BITS)).otherwise(F.lit(0).cast("long")))
-    merged = postings(rows, vocabulary).groupBy("_id").agg(*(bit(w).alias(f"w{w}") for w in words))
+def postings(rows: DataFrame, rules: tuple[Kind, ...] = RULES) -> DataFrame:
+    """The inverted index (trigram, _id) of (_id, _text): a posting for each text and each trigram of it that some rule asks for.
 
-    def holds(term: frozenset[str]) -> Column:
-        masks = [sum(1 << (number[t] % _WORD_BITS) for t in term if number[t] // _WORD_BITS == w) for w in words]
-        return reduce(Column.__and__, [F.col(f"w{w}").bitwiseAND(F.lit(m).cast("long")) == F.lit(m) for w, m in enumerate(masks) if m])
+    Written to the shared folder, sorted by trigram within its files, so that a reader of some
+    trigrams skips the rest; it serves any rules that ask for these trigrams.
+    """
+    vocabulary = sorted({t for q in queries(rules).values() for term in q for t in term})
+    low = rows.select("_id", F.lower("_text").alias("_low"))
+    held = F.filter(F.array(*map(F.lit, vocabulary)), lambda t: F.contains(F.col("_low"), t))
+    return table(low.select(F.explode(held).alias("trigram"), "_id").sortWithinPartitions("trigram"), "postings")
 
-    fits = [F.when(reduce(Column.__or__, map(holds, sorted(q, key=sorted))), F.lit(k)) for k, q in queries.items()]
-    return merged.select("_id", F.array_compact(F.array(*fits)).alias("rules")).where(F.size("rules") > 0)
+
+def candidates(index: DataFrame, rules: tuple[Kind, ...] = RULES) -> DataFrame:
+    """(_id, rules): the numbers of the indexed rules that a document may match.
+
+    The postings of the trigrams of each alternative are intersected: an id must come in all of
+    them.  Alternatives of a rule are united.
+    """
+    asked = [(k, n, t, len(term)) for k, q in queries(rules).items() for n, term in enumerate(sorted(q, key=sorted)) for t in sorted(term)]
+    terms = index.sparkSession.createDataFrame(asked, "rule int, term int, trigram string, needed long")  # some rows for each rule
+    lists = index.where(F.col("trigram").isin(sorted({t for *_, t, _ in asked}))).distinct().join(F.broadcast(terms), "trigram")
+    both = lists.groupBy("_id", "rule", "term", "needed").agg(F.count("*").alias("held")).where(F.col("held") == F.col("needed"))
+    return both.groupBy("_id").agg(F.collect_set("rule").alias("rules"))
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Kind, ...] = RULES, keep: bool = False) -> DataFrame:
@@ -65,10 +69,10 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rul
     texts to verify; null ids are kept; further columns are not read without ``keep``.
     """
     rows = columns(docs, id_col, text_col)
-    found = table(candidates(rows, rules).withColumnRenamed("_id", "_cid"), "secret-candidates")
+    found = table(candidates(postings(rows, rules), rules).withColumnRenamed("_id", "_cid"), "secret-candidates")
     own = docs.select(docs[id_col].alias("_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_text"), *([F.struct(*(docs[c] for c in docs.columns)).alias("_doc")] if keep else []))
     own = own.join(guarded(found), own["_id"].eqNullSafe(found["_cid"]), "left")
-    indexed = {k for k, r in enumerate(rules) if query(r.pattern) is not None}
+    indexed = queries(rules).keys()
     text = F.col("_text")
     asked = lambda k: F.array_contains("rules", F.lit(k)) if k in indexed else F.lit(True)
     own = own.withColumns({f"_p{k}": F.when(asked(k), parts(text, r)) for k, r in enumerate(rules)})

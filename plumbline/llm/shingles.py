@@ -100,14 +100,8 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     return out
 
 
-def digest(hashes: np.ndarray) -> tuple[int, int]:
+def digest(hashes: np.ndarray) -> bytes:
     """128 bits that name a set; equal sets have equal digests."""
-    if not hashes.size:
-        return 0, 0
-    a = int(np.bitwise_xor.reduce(mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5))))
-    b = int(np.sum(mix(hashes + np.uint64(0x1234567887654321)), dtype=np.uint64))
-    return _signed(a), _signed(b)
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
+    a = np.bitwise_xor.reduce(mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
+    b = np.sum(mix(hashes + np.uint64(0x1234567887654321)), dtype=np.uint64)
+    return a.tobytes() + b.tobytes()

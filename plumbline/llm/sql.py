@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from plumbline.llm.pii import IBAN_COUNTRIES
+
 _BLANKS = r"[^\x20\x09-\x0D]+"
 
 
@@ -28,11 +30,11 @@ SECRETS = _spans(
         _found(0, "assign", _ASSIGN, "length(regexp_extract(hit, '" + _ASSIGN.replace("'", "''") + "', 2)) >= 12"),
         _found(1, "access", "AKIA[A-Z0-9]+", "length(hit) >= 18"),
         _found(2, "hex", "[0-9a-f]+", "length(hit) >= 16"),
-        _found(3, "private_key", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
-        _found(4, "github", "gh[pousr]_[A-Za-z0-9]{36,255}"),
-        _found(5, "slack", "xox[abprs]-[A-Za-z0-9-]{10,255}"),
+        _found(3, "private_key", r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----(?:(?:-?[A-Za-z0-9+/=:,.\\\s])*-----END [A-Z0-9 ]*PRIVATE KEY-----|(?:\s*[A-Za-z0-9+/=]{16,})*)"),
+        _found(4, "github", "gh[pousr]_[A-Za-z0-9]{36,}"),
+        _found(5, "slack", "xox[abprs]-[A-Za-z0-9-]{10,}"),
         _found(6, "google", "AIza[A-Za-z0-9_-]{35}"),
-        _found(7, "jwt", r"eyJ[A-Za-z0-9_-]{10,255}\.eyJ[A-Za-z0-9_-]{10,999}\.[A-Za-z0-9_-]{5,999}"),
+        _found(7, "jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}"),
     ],
     ["assign", "access", "hex"],
     3,
@@ -52,7 +54,7 @@ PERSONAL = _spans(
         _found(1, "ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "list_max(list_transform(string_split(hit, '.'), lambda x: x::HUGEINT)) <= 255"),
         _found(2, "card", r"[0-9]([\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN}"),
         _found(3, "phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 10 AND 15"),
-        _found(4, "iban", "[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}", f"length({_ACCOUNT}) BETWEEN 15 AND 34 AND {_MOD_97}"),
+        _found(4, "iban", "|".join(f"(?:{'|'.join(c)})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_COUNTRIES.items()), _MOD_97),
     ],
     ["email", "ip", "card", "phone"],
     4,

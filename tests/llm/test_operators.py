@@ -88,6 +88,34 @@ def test_secret_rules_and_redaction(spark):
     assert out == {1: "[SECRET] [SECRET] [SECRET] [SECRET]", 2: "[SECRET]", 3: "clean"}
 
 
+def test_long_secrets(spark):
+    """No length cuts a secret: whole tokens and whole keys are spans, and nothing of them is left."""
+    body = "\n".join("MIIEpAIBAAKCAQEA" + "x9Z+/" * 9 for _ in range(40)) + "=="
+    jwt = "eyJ" + "a" * 300 + ".eyJ" + "B_-9" * 400 + "." + "c" * 1500
+    texts = {
+        1: f"a {jwt} b",
+        2: "a ghp_" + "Q7" * 150 + " b",
+        3: "a xoxb-" + "1a-" * 200 + "z b",
+        4: f"a -----BEGIN EC PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n{body}\n-----END EC PRIVATE KEY----- b",
+        5: f"a -----BEGIN PRIVATE KEY-----\n{body}",
+        6: "-----BEGIN PRIVATE KEY-----\nand then some words - of prose",
+        7: "-----BEGIN PRIVATE KEY----- " * 3000 + "eyJ" * 30_000 + "-----BEGIN " + "A " * 20_000,
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    whole = secret_scan.scan(df, keep=True)
+    out = {r["i"]: r["t"] for r in whole.select(F.col("doc.doc_id").alias("i"), secret_scan.redacted(F.col("doc.text"), F.col("spans")).alias("t")).collect()}
+    assert {k: out[k] for k in range(1, 7)} == {**{k: "a [SECRET] b" for k in range(1, 5)}, 5: "a [SECRET]", 6: "[SECRET]\nand then some words - of prose"}
+
+
+def test_postings_are_intersected(spark):
+    rows = spark.createDataFrame([(1, "my token = abc"), (2, "to ken tok oke"), (3, "AKIA"), (None, "passwd"), (None, "x")], "_id long, _text string")
+    index = secret_scan.postings(rows)
+    held = {(r["trigram"], r["_id"]) for r in index.collect()}
+    assert {("tok", 1), ("tok", 2), ("ken", 2), ("aki", 3), ("pas", None)} <= held
+    named = {r["_id"]: {secret_scan.RULES[k].name for k in r["rules"]} for r in secret_scan.candidates(index).collect()}
+    assert named == {1: {"assign"}, 2: {"assign"}, 3: {"access"}, None: {"assign"}}
+
+
 def test_trigram_queries():
     q = query(secret_scan.RULES[0].pattern)
     assert q and matches(q, {"tok", "oke", "ken"}) and not matches(q, {"tok", "ken"})
@@ -104,12 +132,21 @@ def test_trigram_queries():
                 assert matches(q, {s[k : k + 3] for k in range(len(s) - 2)})
 
 
+def spark_ibans(spark):
+    """Accounts before upper-case words, side by side, and of a wrong length or sum."""
+    rows = [(1, "GB82 WEST 1234 5698 7654 32 USD 100"), (2, "to DE89 3704 0044 0532 0130 00 BIC X GB82WEST12345698765432A1"), (3, "DE89 3704 0044 0532 0130 0 XX89370400440532013000 GB83 WEST 1234 5698 7654 32")]
+    got = by_id(pii.digest(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))))
+    return {i: [x for x in r["spans"].split(",") if x.startswith("iban")] for i, r in got.items()}
+
+
 def test_personal_data(docs, texts):
     got = by_id(pii.digest(pii.find(docs)))
     for i, text in texts.items():
         want = brute.spans(text, brute.PERSONAL)
         assert [x for x in got[i]["spans"].split(",") if x and not x.startswith("iban")] == want, i
         assert got[i]["base_sha256"] == brute.sha(want)
+    extra = spark_ibans(docs.sparkSession)
+    assert extra == {1: ["iban:0:27"], 2: ["iban:3:30", "iban:37:59"], 3: []}
     ibans = [x for x in got[10_000 + TRICKY.index(next(t for t in TRICKY if t and t.startswith("IBAN")))]["spans"].split(",") if x.startswith("iban")]
     assert len(ibans) == 2
 
@@ -143,6 +180,17 @@ def test_jaccard_large_groups(spark):
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == brute.jaccard(rows, 3, 90, 100)
 
 
+def test_jaccard_values_of_odd_rows(spark):
+    """Null ids, repeated rows, one id twice, ties, and null ids that outnumber all others."""
+    same, other = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(None, same), (None, same), (7, same), (3, same), (3, other), (None, other), (None, "alone in its class"), (5, ""), (6, None), (3, other)]
+    rows += [(None, f"null id number {k} of many words") for k in range(400)]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), width=3, threshold=(90, 100)).collect()
+    told = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in got if r["n_shingles"] not in (2, 5) or r["doc_id"] is not None)
+    assert told == sorted([(True, 0, 4, 3)] * 3 + [(False, 7, 4, 3)] + [(False, 3, 4, 3)] * 3 + [(False, 5, 0, 5), (False, 6, 0, 6)])
+    assert len(got) == len(rows) and all(r["component_id"] is None for r in got if r["n_shingles"] in (2, 5))
+
+
 def test_shingle_sizes(texts):
     for k, (text, h) in enumerate(zip(texts.values(), shingle_sets(list(texts.values()), 3))):
         assert h.size == len(brute.shingles(text, 3)), k
