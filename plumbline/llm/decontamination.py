@@ -170,21 +170,19 @@ class Tables:
             out.append((words[word], items[place], offsets[place]))
         return out
 
-    def candidates(self, hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(item, begin, word's place): where items may begin, those with enough words that agree; begins are of a range of edits each."""
+    def candidates(self, hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]], begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, begin, text): where items may begin, those with enough words that agree; begins are of a range of edits each."""
         word, item, offset = (np.concatenate(x) for x in zip(*hits))
-        if not word.size:
-            return item, offset, word
-        begin = word - offset
-        order = np.lexsort((word, begin, item))
-        word, item, begin = word[order], item[order], begin[order]
+        begin, text = word - offset, np.searchsorted(begins, word, "right") - 1
+        order = np.lexsort((word, begin, text, item))
+        word, item, begin, text = word[order], item[order], begin[order], text[order]
         if self.shape.together > 1:
-            near = (np.diff(item) == 0) & (np.diff(begin) <= self.edits[item[1:]]) & (np.diff(word) != 0)
-            word, item, begin = word[1:][near], item[1:][near], begin[1:][near]
+            near = (np.diff(item) == 0) & (np.diff(text) == 0) & (np.diff(begin) <= self.edits[item[1:]]) & (np.diff(word) != 0)
+            item, begin, text = item[1:][near], begin[1:][near], text[1:][near]
         wide = self.edits[item] + 1
         begin = begin // wide * wide
-        fresh = np.append(True, (np.diff(item) != 0) | (np.diff(begin) != 0))[: item.size]
-        return item[fresh], begin[fresh], word[fresh]
+        fresh = np.append(True, (np.diff(item) != 0) | (np.diff(begin) != 0) | (np.diff(text) != 0))[: item.size]
+        return item[fresh], begin[fresh], text[fresh]
 
 
 def _edited(pattern: bytes, edits: int, rng: random.Random) -> bytes:
@@ -212,8 +210,7 @@ def _found_by_walks(patterns: list[bytes], limit: float, shape: Shape) -> float:
     hits = []
     for walk in range(shape.walks):
         hits += tables.hits({k: total.copy() for k, total, _ in embedded(data, words, walk, shape.wanted)}, words, walk)
-    item, _, word = tables.candidates(hits)
-    text = np.searchsorted(begins, word, "right") - 1
+    item, _, text = tables.candidates(hits, begins)
     return len(set(text[who[text] == item].tolist())) / len(texts)
 
 
@@ -342,8 +339,8 @@ class Index:
         told = [(np.full(some.size, k), begins[some] - self.size[k], begins[some + 1], some) for k in self.always]
         for t, h in zip(self.tables, hits):
             if h:
-                item, place, word = t.candidates(h)
-                told.append((item, place - self.most[item], place + 2 * self.most[item], np.searchsorted(begins, word, "right") - 1))
+                item, place, text = t.candidates(h, begins)
+                told.append((item, place - self.most[item], place + 2 * self.most[item], text))
         for item, low, high, text in told:
             e = self.most[item]
             begin, end = np.clip(low, begins[text], begins[text + 1] - 1), np.clip(high + self.size[item], begins[text], begins[text + 1] - 1)

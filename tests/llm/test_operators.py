@@ -420,6 +420,19 @@ def test_decontamination_limits():
     assert {(n, i) for n, i, *_ in decontamination.Index(items, 1.0).matches(texts, 1.0)} == {(n, i) for n in range(3, 7) for i in (1, 5, 6)}
 
 
+def test_decontamination_of_neighbours():
+    """Copies at the beginnings and ends of texts that follow each other: none hides another."""
+    rng = random.Random(2)
+    words = ["de", "la", "casa", "que", "cion", "ga", "ra", "mente", "os", "thonth", "eren"]
+    items = [(k, " ".join(rng.choices(words, k=rng.randrange(20, 60)))) for k in range(30)]
+    texts = [items[rng.randrange(30)][1][rng.randrange(3) * 20 :] + " " + " ".join(rng.choices(words, k=rng.randrange(4))) for _ in range(400)]
+    got = {(n, i): e for n, i, _, _, e in decontamination.Index(items, 0.2).matches(texts, 0.2)}
+    own = [b" ".join(decontamination.words_of(t)) for t in texts]
+    every = {(n, i): e for n, t in enumerate(own) for i, p in items if (e := decontamination.least_edits(p.encode(), t)[0]) <= 0.2 * len(p)}
+    assert not got.keys() - every.keys() and all(x in got for x, e in every.items() if e == 0)
+    assert len(got) >= 0.97 * len(every)
+
+
 def test_decontamination_of_many_items():
     """20,000 items stay within the memory of a worker, block by block."""
     rng = random.Random(3)
