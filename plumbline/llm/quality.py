@@ -25,8 +25,12 @@ COMMON = {
 _LIST = sorted({w for words in COMMON.values() for w in words})
 #: Documents that make a language reference, and the guards and limits of the verdict.
 REFERENCE_DOCS = 20
-MIN_CHARS, MAX_CHAR_DISTANCE = 150, 0.32
-MIN_WORDS, MAX_WORD_DISTANCE = 80, 0.285
+MIN_CHARS, MAX_CHAR_EXCESS = 150, 0.125
+MIN_WORDS, MAX_WORD_EXCESS = 40, 0.085
+#: A short text strays from its language by chance: so much, over the root of its characters or words, is taken off.
+CHAR_CHANCE, WORD_CHANCE = 3.0, 2.0
+#: The weight of the characters beside the words, and the limit of both together.
+CHAR_WEIGHT, MAX_EXCESS = 0.5, 0.085
 
 
 def repeated_words(words: Column, hashes: Column) -> Column:
@@ -106,25 +110,28 @@ def references(measures: DataFrame, lang_col: str) -> list[tuple[str, list[float
     return out
 
 
-def assess(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", judge_unknown: bool = False) -> DataFrame:
+def assess(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: the base counts, ``base_failed``, both distances and ``kept``.
 
-    Base rules: fewer than 10 words, or over a fifth of the words in repeated 5-word windows.  A
-    text of MIN_CHARS characters is also rejected for its distance from every language by character
-    classes, one of MIN_WORDS words for that by common words.  Null and empty texts have no words
+    Base rules: fewer than 10 words, or over a fifth of the words in repeated 5-word windows.  Of
+    the distance to the nearest language, what a text of that length has by chance is taken off.
+    A text of MIN_CHARS characters is also rejected for what is left by character classes or by
+    both histograms together, one of MIN_WORDS words for what is left by common words.  Null and empty texts have no words
     and fail; repeated rows are judged each; null ids and languages are kept; without a ``lang_col``
     or languages of REFERENCE_DOCS documents only the base rules decide, as they do for documents of
-    no language or one of fewer documents, unless ``judge_unknown``; further columns are not read.
+    no language or one of fewer documents; further columns are not read.
     """
     lang = docs[lang_col].cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
     rows = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text"), lang.alias("_lang"))
     seen = table(measured(rows, keep=("_lang",)), "quality")
     known = references(seen, "_lang")
     own = docs.sparkSession.createDataFrame([tuple([r[at] for r in known] for at in range(3))], "_names array<string>, _chars array<array<double>>, _words array<array<double>>")
-    shares = seen.withColumns({"_c": _shares(F.col("chars")), "_d": _shares(F.col("words"))}).crossJoin(F.broadcast(own))
+    shares = seen.withColumns({"_c": _shares(F.col("chars")), "_d": _shares(F.col("words"))}).crossJoin(F.broadcast(own))  # one row
     nearest = lambda c, refs: F.coalesce(F.array_min(F.transform(refs, lambda r: divergence(F.col(c), r))), F.lit(0.0))
     told = shares.withColumns({"char_distance": nearest("_c", F.col("_chars")), "word_distance": nearest("_d", F.col("_words"))})
-    judged = F.lit(True) if judge_unknown else F.coalesce(F.array_contains("_names", F.col("_lang")), F.lit(False))
+    judged = F.coalesce(F.array_contains("_names", F.col("_lang")), F.lit(False))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    odd = ((F.col("n_chars") >= MIN_CHARS) & (F.col("char_distance") > MAX_CHAR_DISTANCE)) | ((F.col("n_words") >= MIN_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE))
-    return told.select(F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~(judged & odd)).alias("kept"), F.round("char_distance", 9).alias("char_distance"), F.round("word_distance", 9).alias("word_distance"))
+    by_chars = F.col("char_distance") - F.try_divide(F.lit(CHAR_CHANCE), F.sqrt("n_chars"))
+    by_words = F.col("word_distance") - F.try_divide(F.lit(WORD_CHANCE), F.sqrt("n_words"))
+    odd = ((F.col("n_chars") >= MIN_CHARS) & ((by_chars > MAX_CHAR_EXCESS) | (by_chars * CHAR_WEIGHT + by_words > MAX_EXCESS))) | ((F.col("n_words") >= MIN_WORDS) & (by_words > MAX_WORD_EXCESS))
+    return told.select(F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~(judged & F.coalesce(odd, F.lit(False)))).alias("kept"), F.round("char_distance", 9).alias("char_distance"), F.round("word_distance", 9).alias("word_distance"))

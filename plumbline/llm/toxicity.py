@@ -2,14 +2,15 @@
 
 Categories are predicted one after the other; each model reads hashed words and the earlier
 categories' probabilities, which in training are out of fold.  The last link is toxicity itself.
-The tables label toxicity only, so the earlier categories are labelled weakly: a labelled toxic
-document belongs to each category of whose cue words it has one.  Features are the hashed
+The tables label toxicity only, so the earlier categories are learned from the labelled rows, in
+whatever language they are: each is the set of toxic documents that hold its cue, a feature that is
+far more frequent in toxic documents than in others, and each cue is the one that covers most of
+the toxic documents that the cues before it leave.  Features are the hashed
 words and word beginnings of a text, and once more those that come twice or often.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -30,12 +31,9 @@ LEAST_USES = 3
 THRESHOLD = 0.5
 #: Bytes of word beginnings that are features beside whole words: stems that inflected forms share.
 BEGINNINGS = (5, 6, 7, 8, 9, 10)
-#: The chain's weak categories and their cue words.
-CATEGORIES: dict[str, tuple[str, ...]] = {
-    "insult": ("idiot", "moron", "stupid", "loser", "clown", "fool", "dumb"),
-    "contempt": ("pathetic", "worthless", "trash", "garbage", "useless"),
-    "disgust": ("scum", "disgusting", "filth", "vermin", "vile"),
-}
+#: Categories that are learned; how many times more frequent in toxic documents a cue must be.
+CATEGORIES, ODDS = 4, 5.0
+NAMES = [*(f"p_category_{k + 1}" for k in range(CATEGORIES)), "p_toxic"]
 _NOT_WORD = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -152,6 +150,24 @@ def fit_chain(x: Sparse, targets: np.ndarray, fold: np.ndarray) -> list[Link]:
     return chain
 
 
+def categories(x: Sparse, toxic: np.ndarray, n: int = CATEGORIES) -> np.ndarray:
+    """A column for each category: 1 for the toxic rows that hold its cue; all 0 where no cue is left."""
+    own, out = toxic > 0, np.zeros((x.n, n))
+    held = np.bincount(x.index[own[x.row]], minlength=1 << FEATURE_BITS)
+    clean = np.bincount(x.index[~own[x.row]], minlength=1 << FEATURE_BITS)
+    cue = held * max(1, (~own).sum()) > ODDS * (clean + 1) * max(1, own.sum())
+    left = own.copy()
+    for k in range(n):
+        covered = np.bincount(x.index[left[x.row]], minlength=1 << FEATURE_BITS) * cue
+        best = int(np.argmax(covered))
+        if covered[best] < LEAST_USES:
+            break
+        rows = x.row[x.index == best]
+        out[rows[own[rows]], k] = 1.0
+        left[rows] = False
+    return out
+
+
 def chained(chain: list[Link], x: Sparse) -> np.ndarray:
     """The probabilities of all links, in order."""
     told = np.zeros((x.n, 0))
@@ -163,27 +179,26 @@ def chained(chain: list[Link], x: Sparse) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[Link]:
     """Learns the chain from TRAIN_ROWS labelled documents at most, those of least hashed id.
 
-    Null ids, labels and texts are left out; a document labelled toxic anywhere counts as toxic.
+    Null ids, labels and texts are left out; a document labelled toxic anywhere counts as toxic; of
+    several texts with one id the least is read.  The rows are in the order of their ids, so that the
+    same tables give the same chain.
     """
     ship(docs.sparkSession)
     rows = columns(docs, id_col, text_col)
     known = labels.select(labels[id_col].alias("_id"), labels[label_col].cast("int").alias("_toxic")).where("_id is not null and _toxic is not null")
     known = known.groupBy("_id").agg(F.max("_toxic").alias("_toxic")).orderBy(F.xxhash64("_id"), "_id").limit(TRAIN_ROWS)
-    cues = [re.compile(r"(?<!\w)(?:" + "|".join(words) + r")(?!\w)", re.I) for words in CATEGORIES.values()]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = batch.column(0).to_pylist()
-            own = [[bool(c.search(t or "")) for c in cues] for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([w.astype(np.int32) for w in features(texts)], pa.list_(pa.int32())), pa.array(own, pa.list_(pa.bool_()))], names=["toxic", "fold", "words", "cues"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([w.astype(np.int32) for w in features(batch.column(0).to_pylist())], pa.list_(pa.int32()))], names=["toxic", "fold", "words"])
 
-    taken = rows.join(F.broadcast(known), "_id").where("_text is not null").select("_text", "_toxic", F.pmod(F.xxhash64("_id"), F.lit(FOLDS)).cast("int").alias("_fold"))
-    got = taken.mapInArrow(read, "toxic int, fold int, words array<int>, cues array<boolean>").limit(4 * TRAIN_ROWS).toArrow()
+    taken = rows.where("_text is not null").join(F.broadcast(known), "_id").groupBy("_id", "_toxic").agg(F.min("_text").alias("_text")).orderBy("_id")
+    taken = taken.select("_text", "_toxic", F.pmod(F.xxhash64("_id"), F.lit(FOLDS)).cast("int").alias("_fold"))
+    got = taken.mapInArrow(read, "toxic int, fold int, words array<int>").toArrow()  # TRAIN_ROWS at most
     toxic = np.array(got.column("toxic").to_pylist(), float).reshape(-1)
-    weak = np.array(got.column("cues").to_pylist(), float).reshape(len(toxic), len(cues))
     words = got.column("words").combine_chunks()
     x = Sparse.packed(words.flatten().to_numpy(zero_copy_only=False), words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)).frequent(LEAST_USES)
-    return fit_chain(x, np.column_stack([weak * toxic[:, None], toxic]), np.array(got.column("fold").to_pylist(), int).reshape(-1))
+    return fit_chain(x, np.column_stack([categories(x, toxic), toxic]), np.array(got.column("fold").to_pylist(), int).reshape(-1))
 
 
 def _scored(model):
@@ -192,7 +207,7 @@ def _scored(model):
         for own in slices(batches, 500):
             words = features(own.column(1).to_pylist())
             told = chained(chain, Sparse.of(words)) * np.array([w.size > 0 for w in words])[:, None]
-            yield pa.RecordBatch.from_arrays([own.column(0), *(pa.array(told[:, j]) for j in range(told.shape[1]))], names=["_id", *(f"p_{c}" for c in CATEGORIES), "p_toxic"])
+            yield pa.RecordBatch.from_arrays([own.column(0), *(pa.array(told[:, j]) for j in range(told.shape[1]))], names=["_id", *NAMES])
 
     return run
 
@@ -206,8 +221,7 @@ def score(docs: DataFrame, chain: list[Link], *, id_col: str = "doc_id", text_co
     spark = docs.sparkSession
     ship(spark)
     rows = columns(docs, id_col, text_col)
-    names = [*(f"p_{c}" for c in CATEGORIES), "p_toxic"]
-    schema = T.StructType([T.StructField("_id", rows.schema["_id"].dataType), *(T.StructField(x, T.DoubleType()) for x in names)])
+    schema = T.StructType([T.StructField("_id", rows.schema["_id"].dataType), *(T.StructField(x, T.DoubleType()) for x in NAMES)])
     light = [(at := np.flatnonzero(k.weights), k.weights[at], k.chain, k.bias) for k in chain]
     told = rows.mapInArrow(_scored(spark.sparkContext.broadcast(light)), schema)
-    return told.select(F.col("_id").alias(id_col), *names, (F.col("p_toxic") >= threshold).alias("toxic"))
+    return told.select(F.col("_id").alias(id_col), *NAMES, (F.col("p_toxic") >= threshold).alias("toxic"))

@@ -312,15 +312,52 @@ def test_least_edits():
 
 
 def test_toxicity(spark):
+    """Two thirds of the labelled rows learned, the rest told: recall and precision, by language, too; the same chain each time."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     learned = labels.where("doc_id % 3 <> 0")
     held = labels.where("doc_id % 3 = 0")
-    got = toxicity.score(docs, toxicity.train(docs, learned)).join(held, "doc_id").select("doc_id", "p_toxic").collect()
-    truth = {r["doc_id"]: r["toxic"] for r in held.collect()}
-    told = [(r["p_toxic"] >= 0.5, truth[r["doc_id"]] == 1) for r in got]
+    chain = toxicity.train(docs, learned)
+    again = toxicity.train(docs.repartition(7), learned.union(learned.limit(50)))
+    assert all(np.array_equal(a.weights, b.weights) and a.bias == b.bias for a, b in zip(chain, again))
+    got = toxicity.score(docs, chain).drop("toxic").join(held, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").select("p_toxic", "toxic", "lang").collect()
+    told = [(r["p_toxic"] >= 0.5, r["toxic"] == 1) for r in got]
     hit = sum(a and b for a, b in told)
     assert hit >= 0.9 * sum(b for _, b in told) and hit >= 0.85 * sum(a for a, _ in told)
+    for lang in ("en", "de", "fr", "es"):
+        own = [r["p_toxic"] >= 0.5 for r in got if r["toxic"] == 1 and r["lang"] == lang]
+        assert sum(own) >= 0.75 * len(own), lang
+
+
+def test_toxicity_chain_by_brute_force():
+    """Categories, chain and out-of-fold steps against plain loops over the same rows."""
+    rng = random.Random(3)
+    texts = [" ".join([*rng.choices("abcdefgh", k=6), *([["cueone", "cuetwo", "cuethree"][k % 3]] if k % 2 else [])]) for k in range(240)]
+    toxic = np.array([k % 2 for k in range(240)], float)
+    words = toxicity.features(texts)
+    x = toxicity.Sparse.of(words).frequent(toxicity.LEAST_USES)
+    found = toxicity.categories(x, toxic)
+    sets, left, want = [set(w.tolist()) for w in words], {k for k in range(240) if toxic[k]}, []
+    for _ in range(toxicity.CATEGORIES):
+        uses = {}
+        for k in left:
+            for f in sets[k]:
+                uses[f] = uses.get(f, 0) + 1
+        clean = lambda f: sum(f in sets[k] for k in range(240) if not toxic[k])
+        pure = [(-n, f) for f, n in uses.items() if n >= toxicity.LEAST_USES and sum(f in sets[k] for k in range(240) if toxic[k]) * 120 > toxicity.ODDS * (clean(f) + 1) * 120]
+        own = {k for k in range(240) if toxic[k] and pure and min(pure)[1] in sets[k]}
+        want.append([float(k in own) for k in range(240)])
+        left -= own
+    assert np.array_equal(found, np.array(want).T) and found[:, :3].sum() == 120
+    fold = np.arange(240) % toxicity.FOLDS
+    chain = toxicity.fit_chain(x, np.column_stack([found, toxic]), fold)
+    told = toxicity.chained(chain, x)
+    for k in range(20):
+        earlier = []
+        for link in chain:
+            z = sum(link.weights[f] for f in sets[k]) + sum(c * p for c, p in zip(link.chain, earlier)) + link.bias
+            earlier.append(1 / (1 + np.exp(-min(30, max(-30, z)))))
+        assert np.allclose(told[k], earlier)
 
 
 def test_sharding(docs, texts):
@@ -460,6 +497,15 @@ def test_toxicity_learns_rare_cues():
     assert (told[:40] >= 0.5).mean() >= 0.9 and (told[40:] >= 0.5).mean() <= 0.1
 
 
+def test_quality_recall(spark):
+    """Of labelled documents: nine tenths of the poor ones go, clean ones that pass the base rules stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    got = quality.assess(docs).join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").collect()
+    poor, good = [r for r in got if r["quality"] == 0], [r for r in got if r["quality"] == 1 and not r["base_failed"]]
+    assert sum(not r["kept"] for r in poor) >= 0.92 * len(poor)
+    assert sum(r["kept"] for r in good) >= 0.999 * len(good)
+
+
 def test_quality_judges_no_language_by_another(spark):
     """19 or 20 documents of a language, or no language at all, reject none of its clean documents; nor does a rank past 200."""
     rng = random.Random(2)
