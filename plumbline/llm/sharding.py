@@ -59,8 +59,9 @@ def shard_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     ``size`` is the text's UTF-8 bytes plus 1 (null and empty: 1; their checksum is 0).  A record
     belongs to the shard in which its middle byte falls, so shards differ from an equal share by
     less than one record.  ``slot`` counts from 0 without gaps in each shard, in key order.
-    Repeated rows are records like any others and stay neighbours; null ids sort first; further
-    columns are not read; no rows give no rows.
+    Equal texts are neighbours, but a group of them that lies across the end of a shard is cut there,
+    and texts of one checksum may mix.  Repeated rows are records like any others and stay
+    neighbours; null ids sort first; further columns are not read; no rows give no rows.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -70,7 +71,8 @@ def shard_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("crc"),
     )
-    rows = table(rows.withColumn("key", F.col("crc") * F.lit(1 << 31) + F.pmod(F.xxhash64("_id"), F.lit(1 << 31))), "shard-rows")
+    key = F.col("crc") * F.lit(1 << 31) + F.pmod(F.xxhash64("_id"), F.lit(1 << 31))
+    rows = table(rows.withColumns({"key": key, "salt": F.xxhash64(F.monotonically_increasing_id())}), "shard-rows")
     total, count = rows.agg(F.sum("size"), F.count("*")).first()
     total, count = total or 1, count or 0
     n_ranges = int(min(MAX_RANGES, max(MIN_RANGES, count // RANGE_ROWS)))
@@ -93,15 +95,20 @@ def shard_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         before, splitters = splitters, np.unique(np.concatenate([splitters, *fresh]))
         if splitters.size == before.size:
             break
+    # a range of one key only, such as a repeated row, is dealt by salt: its rows are alike
+    alike = found[(full > OVERFULL) & (found["low"] == found["high"])]
+    dealt = spark.createDataFrame([(int(r), int(n)) for r, n in zip(alike["range"], np.ceil(full[alike.index] * 2))], "range int, parts int")
+    ranged = ranged.join(F.broadcast(dealt), "range", "left").withColumn("sub", F.coalesce(F.pmod("salt", "parts"), F.lit(0)).cast("int"))
+    found = ranged.groupBy("range", "sub").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).toPandas().sort_values(["range", "sub"], ignore_index=True)
     offsets = spark.createDataFrame(
-        list(zip(found["range"].tolist(), (found["bytes"].cumsum() - found["bytes"]).astype(int).tolist(), (found["rows"].cumsum() - found["rows"]).astype(int).tolist())),
-        "range int, bytes_before long, rows_before long",
+        list(zip(found["range"].tolist(), found["sub"].tolist(), (found["bytes"].cumsum() - found["bytes"]).astype(int).tolist(), (found["rows"].cumsum() - found["rows"]).astype(int).tolist())),
+        "range int, sub int, bytes_before long, rows_before long",
     )
-    inside = Window.partitionBy("range").orderBy("key", "_id")
+    inside = Window.partitionBy("range", "sub").orderBy("key", "_id")
     placed = (
         ranged.withColumn("upto", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("nth", F.row_number().over(inside))
-        .join(F.broadcast(offsets), "range")
+        .join(F.broadcast(offsets), ["range", "sub"])
         .withColumn("shard", F.least(F.lit(shards - 1), F.floor((2 * (F.col("bytes_before") + F.col("upto")) - F.col("size")) * F.lit(shards) / F.lit(2 * total))).cast("int"))
         .withColumn("row", F.col("rows_before") + F.col("nth") - 1)
     )
@@ -110,11 +117,23 @@ def shard_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return placed.join(F.broadcast(first), "shard").select(F.col("_id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("row") - F.col("first")).alias("slot"))
 
 
+def _free(name: str, taken: list[str]) -> str:
+    """``name``, or with underscores in front until it is not taken, whatever the case."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = f"_{name}"
+    return name
+
+
 def write_shards(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, files_per_shard: int = 8) -> None:
-    """Writes ``docs`` to ``path``, one folder for each shard; rows equal in id and text share one."""
+    """Writes ``docs`` to ``path``, one folder ``shard=...`` for each shard; rows equal in id and text share one.
+
+    All columns are kept; if one is named ``shard``, the folders' name gets underscores in front.
+    Null ids and texts are written like others; no rows give an empty table.
+    """
+    shard, key, crc = (_free(x, docs.columns) for x in ("shard", "shard_key", "shard_crc"))
     plan = shard_plan(docs, id_col=id_col, text_col=text_col, shards=shards)
-    where = plan.groupBy(F.col(id_col).alias("_id"), F.col("text_crc32").alias("_crc")).agg(F.min("shard").alias("shard"))
-    own = docs.withColumn("_crc", F.crc32(F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary")))
-    own = own.join(where, own[id_col].eqNullSafe(where["_id"]) & (own["_crc"] == where["_crc"])).drop("_id", "_crc")
-    salt = F.pmod(F.xxhash64(id_col), F.lit(files_per_shard))
-    own.repartition(shards * files_per_shard, "shard", salt).write.partitionBy("shard").parquet(path)
+    where = plan.groupBy(F.col(id_col).alias(key), F.col("text_crc32").alias(crc)).agg(F.min("shard").alias(shard))
+    sums = F.crc32(F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary"))
+    own = docs.join(where, docs[id_col].eqNullSafe(where[key]) & (sums == where[crc])).drop(key, crc)
+    salt = F.pmod(F.xxhash64(id_col, text_col), F.lit(files_per_shard))
+    own.repartition(shards * files_per_shard, shard, salt).write.partitionBy(shard).parquet(path)

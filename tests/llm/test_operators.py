@@ -381,6 +381,29 @@ def test_sharding_hot_text(spark):
     assert len(rows) == 16 and max(sizes) - min(sizes) <= 40
 
 
+def test_sharding_by_brute_force(spark, docs, texts):
+    """Every row's shard and slot, from one sorted list."""
+    import xxhash
+
+    key = lambda i, t: (brute.checksum(t), xxhash.xxh64_intdigest(int(i).to_bytes(8, "little"), 42) % (1 << 31), i)
+    got = by_id(sharding.shard_plan(docs))
+    total, upto, slots = sum(len((t or "").encode()) + 1 for t in texts.values()), 0, {}
+    for i, t in sorted(texts.items(), key=lambda x: key(*x)):
+        size = len((t or "").encode()) + 1
+        upto += size
+        shard = min(15, (2 * upto - size) * 16 // (2 * total))
+        slot = slots[shard] = slots.get(shard, -1) + 1
+        assert (got[i]["shard"], got[i]["slot"]) == (shard, slot), i
+
+
+def test_sharding_of_one_row_repeated(spark):
+    """A row that is two thirds of the table is dealt evenly, and its range is not one task."""
+    rows = spark.range(90_000).selectExpr("if(id % 3 = 0, id, null) as doc_id", "if(id % 3 = 0, concat('text ', id), null) as text").repartition(6)
+    got = sharding.shard_plan(rows).groupBy("shard").agg(F.sum("size").alias("n"), F.count("*").alias("rows"), F.max("slot").alias("last"), F.countDistinct("slot").alias("slots")).collect()
+    sizes = [r["n"] for r in got]
+    assert len(got) == 16 and max(sizes) - min(sizes) <= 40 and all(r["rows"] == r["slots"] == r["last"] + 1 for r in got)
+
+
 def test_odd_and_empty_tables(spark, docs, empty):
     rows, n = odd(spark, docs), odd(spark, docs).count()
     runs = {
