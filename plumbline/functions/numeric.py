@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WIDTHS = {"float32": 4, "float64": 8}
@@ -32,14 +32,19 @@ def total(x: Column) -> Column:
     return F.coalesce(F.sum(x.cast("double")), F.lit(0.0))
 
 
-def upper_median(x: Column) -> Column:
-    """The element at position n div 2 of the sorted values."""
-    return F.get(F.sort_array(F.collect_list(x)), (F.count(x) / 2).cast("int"))
+def upper_median(name: str) -> Column:
+    """The element at position n div 2 of the sorted values: the first half of them from above."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{name}` DESC)")
+
+
+def ln(x: Column) -> Column:
+    """The natural logarithm; minus infinity of 0, NaN of what is below."""
+    return F.when(x > 0, F.ln(x)).when(x == 0, F.lit(float("-inf"))).when(x.isNotNull(), F.lit(float("nan")))
 
 
 def zscore(x: Column, mean: Column, std: Column) -> Column:
-    """Null where the standard deviation is 0."""
-    return F.try_divide(x - mean, std)
+    """NaN where the standard deviation is 0, as all values are equal there."""
+    return F.when(std == 0, F.lit(float("nan"))).otherwise((x - mean) / F.when(std != 0, std))
 
 
 def byte_size(dtype: Column, rows: Column) -> Column:
@@ -47,8 +52,8 @@ def byte_size(dtype: Column, rows: Column) -> Column:
 
 
 def close(got: Column, want: Column, tolerance: float) -> Column:
-    """Whether |got - want| is within ``tolerance`` of max(|want|, 1)."""
-    return F.abs(got - want) / F.greatest(F.abs(want), F.lit(1.0)) <= tolerance
+    """Whether |got - want| is within ``tolerance`` of max(|want|, 1); equal infinities are, and two NaN are."""
+    return (got == want) | F.coalesce(F.abs(got - want) / F.greatest(F.abs(want), F.lit(1.0)) <= tolerance, F.lit(False))
 
 
 def percent(x: Column) -> Column:
@@ -59,11 +64,6 @@ def milliseconds(ns: Column) -> Column:
     return F.format_string("%.2fms", ns / 1e6)
 
 
-def trailing(order: list[str], by: list[str], window: int):
-    """The frame of the last ``window`` rows in ``order`` within ``by``."""
-    return Window.partitionBy(*by).orderBy(*order).rowsBetween(1 - window, 0)
-
-
 def array_affine(a: Column, scale: float, offset: float) -> Column:
     return F.transform(a, lambda x: affine(x, scale, offset, "float32"))
 

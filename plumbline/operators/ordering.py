@@ -19,40 +19,52 @@ SINGLE_TASK_ROWS, BLOCK_ROWS = 1_000_000, 200_000
 ROW = "_row"
 
 
-def numbered(df: DataFrame, order: list[str], partitions: int | None = None) -> DataFrame:
-    """``df`` with ``_row``: 0-based, dense, in ``order``, whose values must be unique.
+def numbered(df: DataFrame, order: list[str], partitions: int | None = None, row: str = ROW) -> DataFrame:
+    """``df`` with ``row``: 0-based, dense, in ``order``, whose values must be unique.
 
-    The range partitions are written once, so that counts and numbers see the same ones.
+    The range partitions, of about BLOCK_ROWS rows, are written once, so that counts and numbers see the same ones.
     """
-    n = partitions or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spark = df.sparkSession
+    n = partitions or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // BLOCK_ROWS))
     pinned = table(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ordered")
     counts = sorted((r["_part"], r["n"]) for r in pinned.groupBy("_part").agg(F.count("*").alias("n")).collect())  # a row for each partition
     before, offsets = 0, []
     for part, n in counts:
         offsets.append((part, before))
         before += n
-    offsets = df.sparkSession.createDataFrame(offsets, "_part int, _before long")
+    offsets = spark.createDataFrame(offsets, "_part int, _before long")
     within = Window.partitionBy("_part").orderBy(*order)
     joined = pinned.withColumn("_nth", F.row_number().over(within)).join(guarded(offsets, len(counts)), "_part")
-    return joined.withColumn(ROW, F.col("_before") + F.col("_nth") - 1).drop("_part", "_nth", "_before")
+    return joined.withColumn(row, F.col("_before") + F.col("_nth") - 1).drop("_part", "_nth", "_before")
 
 
-def haloed(df: DataFrame, order: list[str], width: int, make: Callable[[WindowSpec], dict[str, Column]], block: int = BLOCK_ROWS) -> DataFrame:
-    """Adds the columns of ``make`` over the last ``width`` rows in ``order``, block by block."""
+def haloed(df: DataFrame, order: list[str], width: int, make: Callable[[WindowSpec], dict[str, Column]], block: int = BLOCK_ROWS, by: list[str] = [], row: str = ROW) -> DataFrame:  # noqa: B006
+    """Adds the columns of ``make`` over the last ``width`` rows in ``order``, within ``by``, block by block.
+
+    Blocks are of consecutive rows in the order of ``by`` and ``order`` together, so a large group
+    has many, and small ones share one.  ``row`` counts within ``by``.
+    """
     block = max(block, width)
-    rows = numbered(df, order)
-    own = F.floor(F.col(ROW) / block)
-    near = F.when(F.col(ROW) % block >= block - (width - 1), F.array(own, own + 1)).otherwise(F.array(own))
+    rows = numbered(df, [*by, *order], row=row)
+    own = F.floor(F.col(row) / block)
+    near = F.when(F.col(row) % block >= block - (width - 1), F.array(own, own + 1)).otherwise(F.array(own))
     spread = rows.withColumn("_block", F.explode(near))
-    window = Window.partitionBy("_block").orderBy(ROW)
-    return spread.withColumns(make(window)).where(F.col("_block") == own).drop("_block")
+    window = Window.partitionBy("_block", *by).orderBy(row)
+    out = spread.withColumns(make(window)).where(F.col("_block") == own).drop("_block")
+    if not by:
+        return out
+    first = rows.groupBy(*by).agg(F.min(row).alias("_first"))
+    return out.join(first.select(*(first[k].alias(f"_by_{k}") for k in by), "_first"), [F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in by]).withColumn(row, F.col(row) - F.col("_first")).drop("_first", *(f"_by_{k}" for k in by))
 
 
-def windowed(df: DataFrame, order: list[str], by: list[str], width: int, make: Callable[[WindowSpec], dict[str, Column]], strategy: str = "auto") -> DataFrame:
-    """Adds windowed columns and ``_row`` (0-based within ``by``) by the strategy that fits the size."""
+def windowed(df: DataFrame, order: list[str], by: list[str], width: int, make: Callable[[WindowSpec], dict[str, Column]], strategy: str = "auto", most: Callable[[], int] | None = None, row: str = ROW) -> DataFrame:
+    """Adds windowed columns and ``row`` (0-based within ``by``) by the strategy that fits the size.
+
+    ``most`` tells the rows of the largest group; up to SINGLE_TASK_ROWS one task takes a group.
+    """
     if strategy == "auto":
-        strategy = "window" if by or df.count() <= SINGLE_TASK_ROWS else "halo"
-    if strategy == "halo" and not by:
-        return haloed(df, order, width, make)
+        strategy = "window" if (most() if most else df.count()) <= SINGLE_TASK_ROWS else "halo"
+    if strategy == "halo":
+        return haloed(df, order, width, make, by=by, row=row)
     window = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumns({**make(window), ROW: F.row_number().over(window).cast("long") - 1})
+    return df.withColumns({**make(window), row: F.row_number().over(window).cast("long") - 1})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import time
 from collections.abc import Callable, Sequence
 
@@ -21,9 +22,11 @@ class UnsupportedDTypeError(TypeError):
 class Series:
     """``value`` of ``df`` in the order of ``order_by``, alone or for each of ``partition_by``.
 
-    Operators are lazy and keep the order columns; ``sum``, ``mean`` and ``len`` are actions.
-    Nulls are rejected at the first action unless ``nulls="drop"``; NaN is data.  The values of
-    ``order_by`` must be unique within a partition.  ``tracer`` records the actions' run times.
+    Operators are lazy and keep the order columns; ``sum``, ``mean`` and ``len`` are actions, which
+    ``np.sum`` and ``np.mean`` reach, too.  Rows of null values are left out, or rejected at the first
+    action with ``nulls="reject"``, in the data and in what ``map`` and ``zip_with`` make of them; NaN
+    and infinities are data and stay in their places.  The values of ``order_by`` must be unique within
+    a partition.  ``tracer`` records the actions' run times.
     """
 
     def __init__(self, df: DataFrame, value: str, order_by: str | Sequence[str], partition_by: str | Sequence[str] = (), *, nulls: str = "drop", strategy: str = "auto", tracer=None):
@@ -34,15 +37,32 @@ class Series:
         self.value = value
         self.order = [order_by] if isinstance(order_by, str) else list(order_by)
         self.by = [partition_by] if isinstance(partition_by, str) else list(partition_by)
-        self.strategy, self.tracer = strategy, tracer
-        if df.schema[value].nullable:
-            held = F.col(value).isNotNull()
-            df = df.where(held) if nulls == "drop" else df.withColumn(value, F.when(held, F.col(value)).otherwise(F.raise_error(F.lit(f"{value} has nulls"))))
-        self.df = df
+        self.strategy, self.tracer, self.nulls = strategy, tracer, nulls
+        self.df = self._checked(df)
         self._rows: int | None = None
+        self._most: list[int] = []  # the largest partition's rows, shared with all that is derived
+
+    def _checked(self, df: DataFrame) -> DataFrame:
+        held = self.x.isNotNull()
+        if not df.schema[self.value].nullable:
+            return df
+        return df.where(held) if self.nulls == "drop" else df.withColumn(self.value, F.when(held, self.x).otherwise(F.raise_error(F.lit(f"{self.value} has nulls"))))
+
+    def _with(self, df: DataFrame, *, checked: bool = True) -> Series:
+        out = copy.copy(self)
+        out._rows = None
+        kind = df.schema[self.value].dataType
+        if not isinstance(kind, (T.FloatType, T.DoubleType)):
+            raise UnsupportedDTypeError(f"{self.value} became {kind.simpleString()}; float or double is needed")
+        out.dtype = "float32" if isinstance(kind, T.FloatType) else "float64"
+        out.df = df if checked else out._checked(df)
+        return out
 
-    def _with(self, df: DataFrame, value: str | None = None) -> Series:
-        return Series(df, value or self.value, self.order, self.by, strategy=self.strategy, tracer=self.tracer)
+    def most(self) -> int:
+        """The rows of the largest partition: counted once for a series and all that is derived from it, none of which has more."""
+        if not self._most:
+            self._most.append(self.df.groupBy(*self.by).count().agg(F.max("count")).first()[0] or 0 if self.by else self.df.count())
+        return self._most[0]
 
     @property
     def x(self) -> Column:
@@ -93,20 +113,33 @@ class Series:
         """Null for an empty series."""
         return self.df.groupBy(*self.by).agg(F.avg(self.x.cast("double")).alias("mean"))
 
-    def sum(self) -> float:
+    @staticmethod
+    def _whole(axis, out, more) -> None:
+        """What NumPy's functions pass on: a series has one axis, and its results are new."""
+        if axis not in (None, 0, -1, (0,)) or out is not None or any(v is not np._NoValue for v in more.values()):
+            raise ValueError("a series is reduced over its one axis, without out, where, initial or keepdims")
+
+    def sum(self, axis=None, dtype=None, out=None, **more) -> float:
         """The sum in double; 0.0 for an empty series."""
-        return self._traced("reduction", lambda: self.df.agg(numeric.total(self.x)).first()[0])
+        self._whole(axis, out, more)
+        found = self._traced("reduction", lambda: self.df.agg(numeric.total(self.x)).first()[0])
+        return found if dtype is None else np.dtype(dtype).type(found)
 
-    def mean(self) -> float:
+    def mean(self, axis=None, dtype=None, out=None, **more) -> float:
         """The mean in double; an empty series raises ValueError."""
+        self._whole(axis, out, more)
         found = self._traced("reduction", lambda: self.df.agg(F.avg(self.x.cast("double"))).first()[0])
         if found is None:
             raise ValueError("mean of an empty series")
-        return found
+        return found if dtype is None else np.dtype(dtype).type(found)
 
-    def std(self) -> float | None:
-        """The population standard deviation."""
-        return self.df.agg(F.stddev_pop(self.x.cast("double"))).first()[0]
+    def std(self, axis=None, dtype=None, out=None, ddof=0, **more) -> float | None:
+        """The standard deviation of the population, or with ``ddof=1`` of a sample; null for an empty series."""
+        self._whole(axis, out, more)
+        if ddof not in (0, 1):
+            raise ValueError("ddof must be 0 or 1")
+        found = self.df.agg((F.stddev_samp if ddof else F.stddev_pop)(self.x.cast("double"))).first()[0]
+        return found if dtype is None or found is None else np.dtype(dtype).type(found)
 
     def agg_by(self, *keys: str) -> DataFrame:
         """Sums for each value of ``keys``: the axis-wise sum of long-form data."""
@@ -122,18 +155,29 @@ class Series:
 
     def map(self, make: Callable[[Column], Column]) -> Series:
         """Any elementwise expression; the result must again be float or double."""
-        return self._with(self.df.withColumn(self.value, make(self.x)))
+        return self._with(self.df.withColumn(self.value, make(self.x)), checked=False)
 
     def zip_with(self, other: Series, make: Callable[[Column, Column], Column]) -> Series:
         """Combines the values of equal order and partition columns."""
         keys = self.by + self.order
-        right = other.df.select(*(F.col(o).alias(k) for k, o in zip(keys, other.by + other.order)), F.col(other.value).alias("_other"))
-        return self._with(self.df.join(right, keys).withColumn(self.value, make(self.x, F.col("_other"))).drop("_other"))
+        name = self._free("_other")
+        right = other.df.select(*(F.col(o).alias(k) for k, o in zip(keys, other.by + other.order)), F.col(other.value).alias(name))
+        return self._with(self.df.join(right, keys).withColumn(self.value, make(self.x, F.col(name))).drop(name), checked=False)
+
+    def _free(self, name: str) -> str:
+        """``name``, with underscores in front until no column has it."""
+        while name.lower() in (c.lower() for c in self.df.columns):
+            name = f"_{name}"
+        return name
+
+    def _windowed(self, width: int, make: Callable) -> tuple[DataFrame, str]:
+        row = self._free(ROW)
+        return windowed(self.df, self.order, self.by, width, make, self.strategy, most=self.most, row=row), row
 
     def every(self, step: int, start: int = 0) -> Series:
         """Each ``step``-th value by position."""
-        rows = windowed(self.df, self.order, self.by, 1, lambda w: {}, self.strategy)
-        return self._with(rows.where((F.col(ROW) >= start) & ((F.col(ROW) - start) % step == 0)).drop(ROW))
+        rows, row = self._windowed(1, lambda w: {})
+        return self._with(rows.where((F.col(row) >= start) & ((F.col(row) - start) % step == 0)).drop(row))
 
     def _rolled(self, window: int, make: Callable[[Column, object], Column]) -> Series:
         if window < 0:
@@ -141,9 +185,9 @@ class Series:
         kind = self.df.schema[self.value].dataType
         if window == 0:
             return self._with(self.df.limit(0))
-        frame = lambda w: {"_out": make(self.x.cast("double"), w.rowsBetween(1 - window, 0)).cast(kind)}
-        rows = windowed(self.df, self.order, self.by, window, frame, self.strategy).where(F.col(ROW) >= window - 1)
-        return self._with(rows.withColumn(self.value, F.col("_out")).drop("_out", ROW))
+        name = self._free("_out")
+        rows, row = self._windowed(window, lambda w: {name: make(self.x.cast("double"), w.rowsBetween(1 - window, 0)).cast(kind)})
+        return self._with(rows.where(F.col(row) >= window - 1).withColumn(self.value, F.col(name)).drop(name, row))
 
     def rolling_sum(self, window: int) -> Series:
         """Sums of ``window`` neighbours, at the last one's place; no partial windows; window 0 is empty."""
@@ -160,28 +204,31 @@ class Series:
         return self._rolled(window, lambda x, w: F.stddev_pop(x).over(w))
 
     def _lagged(self, make: Callable[[Column, Column], Column]) -> Series:
-        rows = windowed(self.df, self.order, self.by, 2, lambda w: {"_last": F.lag(self.x).over(w)}, self.strategy)
-        return self._with(rows.where(F.col(ROW) >= 1).withColumn(self.value, make(self.x, F.col("_last"))).drop("_last", ROW))
+        name = self._free("_last")
+        rows, row = self._windowed(2, lambda w: {name: F.lag(self.x).over(w)})
+        return self._with(rows.where(F.col(row) >= 1).withColumn(self.value, make(self.x, F.col(name))).drop(name, row))
 
     def diff(self) -> Series:
         """Differences from the value before; one value fewer."""
         return self._lagged(lambda x, last: x - last)
 
     def log(self) -> Series:
-        """Natural logarithms; values must be above 0 (others become null and are dropped)."""
-        return self.map(F.ln)
+        """Natural logarithms: minus infinity of 0 and NaN of what is below, each in its place."""
+        return self._with(self.df.withColumn(self.value, numeric.ln(self.x)))
 
     def diff_log(self) -> Series:
-        return self._lagged(lambda x, last: F.ln(x) - F.ln(last))
+        """Differences of the logarithms; those beside values of 0 or less are infinite or NaN, and stay in their places."""
+        return self._lagged(lambda x, last: numeric.ln(x) - numeric.ln(last))
 
     def zscore(self) -> Series:
-        """(x - mean) / population standard deviation, which is broadcast as one row; dropped if that is 0."""
-        stats = self.df.groupBy(*self.by).agg(F.avg(self.x).alias("_mean"), F.stddev_pop(self.x).alias("_std"))
-        joined = self.df.join(stats, self.by) if self.by else self.df.join(F.broadcast(stats))
-        return self._with(joined.withColumn(self.value, numeric.zscore(self.x, F.col("_mean"), F.col("_std"))).drop("_mean", "_std"))
+        """(x - mean) / population standard deviation; NaN throughout if that is 0."""
+        mean, std = self._free("_mean"), self._free("_std")
+        stats = self.df.groupBy(*self.by).agg(F.avg(self.x).alias(mean), F.stddev_pop(self.x).alias(std))
+        joined = self.df.join(stats, self.by) if self.by else self.df.join(F.broadcast(stats))  # one row
+        return self._with(joined.withColumn(self.value, numeric.zscore(self.x, F.col(mean), F.col(std))).drop(mean, std))
 
     def running_sum(self, exclusive: bool = False) -> Series:
         """Prefix sums; the exclusive ones start with 0."""
         from plumbline.operators.prefix import prefix_sums
 
-        return self._with(prefix_sums(self.df, self.value, self.order, self.by, exclusive=exclusive))
+        return self._with(prefix_sums(self.df, self.value, self.order, self.by, exclusive=exclusive, most=self.most))

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbline.sources.traces import KEY, contiguous_samples, first_contiguity_loss, labelled, samples
+from plumbline.plans.materialize import ship
+from plumbline.sources.traces import KEY, contiguous_samples, first_contiguity_loss, samples
 
 
 class InsufficientDataError(ValueError):
@@ -49,32 +54,76 @@ def evaluate(baseline: list[float], current: list[float], *, min_pairs: int = 20
     return out | {"estimate": estimate, "ci_low": low, "ci_high": high, "status": "regression" if low > threshold else "within_noise"}
 
 
-def _place(side: str, seed: int) -> Column:
-    """The index of draw k in iteration i: a hash, so that every engine draws alike."""
-    text = F.concat_ws("|", F.lit(seed), F.lit(side), F.col("i"), F.col("k"))
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+#: Draws of a block, which is one row of the resampling, and numbers drawn at once.
+BLOCK_DRAWS, DRAWN_AT_ONCE = 250, 1 << 20
+_PRIME = 2147483647
 
 
-def _means(grouped: DataFrame, side: str, n_bootstrap: int, seed: int) -> DataFrame:
-    """(key, i, mean): the mean of each resample of (key, samples)."""
-    draws = grouped.select(*KEY, "samples", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1))).alias("i"))
-    each = draws.select(*KEY, "i", "samples", F.explode(F.sequence(F.lit(0), F.size("samples") - 1)).alias("k"))
-    picked = F.get("samples", F.pmod(_place(side, seed), F.size("samples")).cast("int"))
-    return each.groupBy(*KEY, "i").agg(F.avg(picked).alias(f"mean_{side}"))
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo _PRIME, a number of 31 ones, by shifts; ``x`` is below 2**62."""
+    x = (x & _PRIME) + (x >> 31)
+    x = (x & _PRIME) + (x >> 31)
+    return x - _PRIME * (x >= _PRIME)
 
 
-def bootstrap_intervals(baseline: DataFrame, current: DataFrame, n_bootstrap: int = 1000, seed: int = 1) -> DataFrame:
+def places(draws: np.ndarray, picks: np.ndarray, n: int, salt: int) -> np.ndarray:
+    """The places of the numbered picks of the numbered draws among ``n`` samples.
+
+    A few steps of whole-number arithmetic, so that every engine draws alike.
+    """
+    x = _reduced(draws[:, None] * 65537 + picks[None, :] * 257 + salt)
+    for factor, shift in ((48271, 11), (69621, 12345)):
+        x = _reduced(x * factor + shift)
+        x = _reduced(x * x + shift)
+    return (x * n) >> 31
+
+
+def _means(samples: np.ndarray, draws: np.ndarray, salt: int) -> np.ndarray:
+    """The mean of each of the numbered resamples."""
+    wide = min(samples.size, DRAWN_AT_ONCE)
+    tall = max(1, DRAWN_AT_ONCE // wide)
+    out = np.zeros(draws.size)
+    for i in range(0, draws.size, tall):
+        own = draws[i : i + tall]
+        for k in range(0, samples.size, wide):
+            out[i : i + tall] += samples[places(own, np.arange(k, min(k + wide, samples.size)), samples.size, salt)].sum(1)
+    return out / samples.size
+
+
+def _slowdowns(seed: int):
+    """The slowdowns of the draws of each block, beside its key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                b, c = (row.column(x).flatten().to_numpy(zero_copy_only=False).astype(float) for x in ("b", "c"))
+                draws = np.arange(row.column("first")[0].as_py(), row.column("last")[0].as_py())
+                before, now = _means(b, draws, 2 * seed), _means(c, draws, 2 * seed + 1)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    told = np.where(before != 0, (now - before) / before, 0.0)
+                yield pa.RecordBatch.from_arrays([*(row.column(x) for x in KEY), pa.array([told], pa.list_(pa.float64()))], names=[*KEY, "draws"])
+
+    return run
+
+
+def bootstrap_intervals(baseline: DataFrame, current: DataFrame, n_bootstrap: int = 10_000, seed: int = 1) -> DataFrame:
     """Estimate and Bonferroni-corrected interval of each key common to two tables of samples.
 
-    Keys with fewer than two samples on a side count as comparisons but get no interval.
+    Keys with fewer than two samples on a side count as comparisons but get no interval.  The draws
+    of a key are dealt over tasks in blocks of BLOCK_DRAWS, each with the key's samples beside it.
     """
+    ship(baseline.sparkSession)
     pairs = baseline.select(*KEY, F.col("samples").alias("b")).join(current.select(*KEY, F.col("samples").alias("c")), KEY)
-    pairs = pairs.join(F.broadcast(pairs.agg(F.count("*").alias("comparisons"))))
+    pairs = pairs.join(F.broadcast(pairs.agg(F.count("*").alias("comparisons"))))  # one row
     fit = pairs.where((F.size("b") >= 2) & (F.size("c") >= 2))
-    left = _means(fit.select(*KEY, F.col("b").alias("samples")), "b", n_bootstrap, seed)
-    right = _means(fit.select(*KEY, F.col("c").alias("samples")), "c", n_bootstrap, seed)
-    rel = F.coalesce(F.try_divide(F.col("mean_c") - F.col("mean_b"), F.col("mean_b")), F.lit(0.0))
-    spread = left.join(right, [*KEY, "i"]).groupBy(*KEY).agg(F.sort_array(F.collect_list(rel)).alias("draws"))
+    first = F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1), F.lit(BLOCK_DRAWS)))
+    blocks = fit.select(*KEY, F.col("b").cast("array<double>").alias("b"), F.col("c").cast("array<double>").alias("c"), first.alias("first"))
+    blocks = blocks.withColumn("last", F.least(F.col("first") + BLOCK_DRAWS, F.lit(n_bootstrap)))
+    tasks = baseline.sparkSession.sparkContext.defaultParallelism * 2
+    kinds = T.StructType([*(baseline.schema[k] for k in KEY), T.StructField("draws", T.ArrayType(T.DoubleType()))])
+    told = blocks.repartition(tasks, *KEY, "first").mapInArrow(_slowdowns(seed), kinds)
+    spread = told.groupBy(*KEY).agg(F.sort_array(F.flatten(F.collect_list("draws"))).alias("draws"))  # n_bootstrap numbers a key
     alpha = F.lit(0.05) / F.greatest(F.col("comparisons"), F.lit(1))
     low = F.floor(F.lit(n_bootstrap) * (alpha / 2)).cast("int")
     high = F.least(F.floor(F.lit(n_bootstrap) * (1 - alpha / 2)), F.lit(n_bootstrap - 1)).cast("int")
@@ -85,7 +134,7 @@ def bootstrap_intervals(baseline: DataFrame, current: DataFrame, n_bootstrap: in
     )
 
 
-def regression_report(traces: DataFrame, baseline: str, current: str, *, min_pairs: int = 20, threshold: float = 0.05, n_bootstrap: int = 1000, seed: int = 1) -> DataFrame:
+def regression_report(traces: DataFrame, baseline: str, current: str, *, min_pairs: int = 20, threshold: float = 0.05, n_bootstrap: int = 10_000, seed: int = 1) -> DataFrame:
     """Status of each common key, and for regressions where the fast path was first lost."""
     told = bootstrap_intervals(samples(traces, baseline), samples(traces, current), n_bootstrap, seed)
     few = F.least("n_baseline", "n_current") < min_pairs
@@ -98,9 +147,3 @@ def regression_report(traces: DataFrame, baseline: str, current: str, *, min_pai
 def shapes_for_remediation(traces: DataFrame, label: str) -> DataFrame:
     """The samples of a label beside the accelerated history of the same shapes."""
     return samples(traces, label).select(*KEY, "samples").join(contiguous_samples(traces), KEY, "left")
-
-
-def resampled(traces: DataFrame, label: str) -> DataFrame:
-    """The numbered samples of a label: long form, for engines without arrays."""
-    order = Window.partitionBy(*KEY).orderBy("runtime_ns", "id")
-    return labelled(traces, label).withColumn("k", F.row_number().over(order) - 1)

@@ -20,7 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 BASELINE, CURRENT = "baseline:v1", "check:v1:1"
-BOOTSTRAPS = 200
+BOOTSTRAPS = 10_000
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -80,12 +80,11 @@ def filter_gt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Series(items(spark, sf_dir), "l_extendedprice", ["l_orderkey", "l_linenumber"]).filter_gt(50_000.0).df
 
 
-@query("SELECT count(*) AS n, min(value) AS least FROM events WHERE value > (SELECT max(value) - 0 FROM events WHERE event_id < 100)")
+@query("SELECT count(*) AS n, min(value) AS least FROM events WHERE value > (SELECT median(value) FROM events) AND NOT isnan(value)")
 def filter_gt_strict_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = events(spark, sf_dir)
-    limit = df.where("event_id < 100").agg(F.max("value").alias("_limit"))
-    passed = df.join(F.broadcast(limit)).where((F.col("value") > F.col("_limit")) & ~F.isnan("value"))
-    return passed.agg(F.count("*").alias("n"), F.min("value").alias("least"))
+    passed = Series(df, "value", "event_id").filter_gt(df.agg(F.median("value")).first()[0])
+    return passed.df.agg(F.count("*").alias("n"), F.min("value").alias("least"))
 
 
 @query("SELECT event_id, value FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CAST('NaN' AS DOUBLE) ELSE value END AS value FROM events) WHERE value > 100 AND NOT isnan(value)")
@@ -116,7 +115,8 @@ def reduce_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT round(stddev_pop(l_extendedprice), 6) AS std FROM lineitem")
 def reduce_std(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return items(spark, sf_dir).agg(F.round(F.stddev_pop("l_extendedprice"), 6).alias("std"))
+    found = Series(items(spark, sf_dir), "l_extendedprice", ["l_orderkey", "l_linenumber"]).std()
+    return spark.createDataFrame([(found,)], "std double").select(F.round("std", 6).alias("std"))
 
 
 @query("SELECT event_type, user_id, round(coalesce(sum(value), 0), 6) AS sum FROM events GROUP BY event_type, user_id")
@@ -145,7 +145,8 @@ def rolling_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, value FROM events WHERE false")
 def rolling_window_gt_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Series(events(spark, sf_dir).where("event_id < 10"), "value", "event_id").rolling_sum(20).df
+    s = Series(events(spark, sf_dir), "value", "event_id")
+    return s.rolling_sum(len(s) + 1).df
 
 
 @query(_rolling_sql("sum", 20))
@@ -158,6 +159,11 @@ def rolling_mean_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(Series(events(spark, sf_dir, "user_id"), "value", "event_id", "user_id").rolling_mean(5), "user_id", "event_id")
 
 
+@query(_rolling_sql("avg", 5, by="user_id"))
+def rolling_mean_by_user_halo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(Series(events(spark, sf_dir, "user_id"), "value", "event_id", "user_id", strategy="halo").rolling_mean(5), "user_id", "event_id")
+
+
 @query(_rolling_sql("stddev_pop", 10))
 def rolling_std(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(Series(events(spark, sf_dir), "value", "event_id").rolling_std(10), "event_id")
@@ -185,6 +191,18 @@ def diff_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(prices(spark, sf_dir).diff_log(), "o_orderkey")
 
 
+@query(
+    """WITH l AS (SELECT event_id, CASE WHEN x > 0 THEN ln(x) WHEN x = 0 THEN '-inf'::DOUBLE ELSE 'nan'::DOUBLE END AS y FROM (SELECT event_id, CASE WHEN event_id % 500 = 7 THEN 0 WHEN event_id % 700 = 9 THEN -value ELSE value END AS x FROM events)),
+ d AS (SELECT event_id, y - lag(y) OVER (ORDER BY event_id) AS d, row_number() OVER (ORDER BY event_id) AS r FROM l)
+ SELECT event_id, CASE WHEN isfinite(d) THEN round(d, 6) END AS value, isinf(d) AS infinite, isnan(d) AS undefined FROM d WHERE r > 1"""
+)
+def diff_log_of_zeros(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad = F.when(F.col("event_id") % 500 == 7, 0.0).when(F.col("event_id") % 700 == 9, -F.col("value")).otherwise(F.col("value"))
+    out = Series(events(spark, sf_dir).withColumn("value", bad), "value", "event_id").diff_log()
+    infinite, undefined = F.abs(out.x) == float("inf"), F.isnan(out.x)
+    return out.df.select("event_id", F.when(~infinite & ~undefined, F.round(out.x, 6)).alias("value"), infinite.alias("infinite"), undefined.alias("undefined"))
+
+
 @query("SELECT o_orderkey, round((o_totalprice - (SELECT avg(o_totalprice) FROM orders)) / nullif((SELECT stddev_pop(o_totalprice) FROM orders), 0), 6) AS o_totalprice FROM orders")
 def zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(prices(spark, sf_dir).zscore(), "o_orderkey")
@@ -405,21 +423,26 @@ def remediation_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select(*tr.KEY, "copy_cost_ns", F.round("savings_ns", 6).alias("savings_ns"), F.round("net_benefit_ns", 6).alias("net_benefit_ns"), "recommend", "reason")
 
 
-def _side(label: str, side: str) -> str:
-    return f"""{side}s AS (SELECT {_KEYS}, runtime_ns, row_number() OVER (PARTITION BY {_KEYS} ORDER BY runtime_ns, id) - 1 AS k, count(*) OVER (PARTITION BY {_KEYS}) AS n FROM traces WHERE run_label = '{label}'),
- {side}d AS (SELECT {_KEYS}, i, k, ('0x' || substr(md5(concat_ws('|', 1, '{side}', i, k)), 1, 8))::BIGINT % n AS k2 FROM {side}s, range({BOOTSTRAPS}) t(i)),
- {side}m AS (SELECT d.operator, d.dtype, d.row_count, d.i, avg(s.runtime_ns) AS m FROM {side}d d JOIN {side}s s ON d.operator = s.operator AND d.dtype = s.dtype AND d.row_count = s.row_count AND d.k2 = s.k GROUP BY ALL),
- {side}g AS (SELECT {_KEYS}, count(*) AS n, avg(runtime_ns) AS m FROM {side}s GROUP BY {_KEYS})"""
+def _side(label: str) -> str:
+    return f"(SELECT {_KEYS}, list(runtime_ns ORDER BY runtime_ns) AS s, len(s) AS n, avg(runtime_ns) AS m FROM traces WHERE run_label = '{label}' GROUP BY {_KEYS})"
+
+
+def _draw(side: str, salt: int) -> str:
+    place = f"(i * 65537 + k * 257 + {salt}) % 2147483647"
+    for factor, shift in ((48271, 11), (69621, 12345)):
+        place = f"list_transform([({place} * {factor} + {shift}) % 2147483647], lambda x: (x * x + {shift}) % 2147483647)[1]"
+    return f"list_sum(list_transform(range({side}.n), lambda k: {side}.s[(({place} * {side}.n) >> 31) + 1])) / {side}.n"
 
 
 _BOOT = (
     _TRACES
-    + f""", {_side(BASELINE, 'b')}, {_side(CURRENT, 'c')},
- g AS (SELECT {_KEYS}, bg.n AS nb, cg.n AS nc, bg.m AS mb, cg.m AS mc, count(*) OVER () AS k FROM bg JOIN cg USING ({_KEYS})),
- r AS (SELECT {_KEYS}, list(coalesce((cm.m - bm.m) / nullif(bm.m, 0), 0) ORDER BY coalesce((cm.m - bm.m) / nullif(bm.m, 0), 0)) AS draws FROM bm JOIN cm USING ({_KEYS}, i) GROUP BY {_KEYS}),
- ci AS (SELECT {_KEYS}, nb, nc, k, CASE WHEN least(nb, nc) >= 2 THEN coalesce((mc - mb) / nullif(mb, 0), 0) END AS e,
-  CASE WHEN least(nb, nc) >= 2 THEN draws[CAST(floor({BOOTSTRAPS} * (0.05::DOUBLE / greatest(k, 1) / 2)) AS BIGINT) + 1] END AS lo,
-  CASE WHEN least(nb, nc) >= 2 THEN draws[CAST(least(floor({BOOTSTRAPS} * (1 - 0.05::DOUBLE / greatest(k, 1) / 2)), {BOOTSTRAPS} - 1) AS BIGINT) + 1] END AS hi FROM g LEFT JOIN r USING ({_KEYS}))
+    + f""", g AS (SELECT b.*, c.s AS cs, c.n AS cn, c.m AS cm, count(*) OVER () AS k FROM {_side(BASELINE)} b JOIN {_side(CURRENT)} c USING ({_KEYS})),
+ j AS (SELECT {_KEYS}, i, {{'s': s, 'n': n}} AS b, {{'s': cs, 'n': cn}} AS c FROM g, range({BOOTSTRAPS}) t(i)),
+ d AS (SELECT {_KEYS}, {_draw('b', 2)} AS x, {_draw('c', 3)} AS y FROM j),
+ r AS (SELECT {_KEYS}, list(coalesce((y - x) / nullif(x, 0), 0) ORDER BY coalesce((y - x) / nullif(x, 0), 0)) AS draws FROM d GROUP BY {_KEYS}),
+ ci AS (SELECT {_KEYS}, n AS nb, cn AS nc, k, CASE WHEN least(n, cn) >= 2 THEN coalesce((cm - m) / nullif(m, 0), 0) END AS e,
+  CASE WHEN least(n, cn) >= 2 THEN draws[CAST(floor({BOOTSTRAPS} * (0.05::DOUBLE / greatest(k, 1) / 2)) AS BIGINT) + 1] END AS lo,
+  CASE WHEN least(n, cn) >= 2 THEN draws[CAST(least(floor({BOOTSTRAPS} * (1 - 0.05::DOUBLE / greatest(k, 1) / 2)), {BOOTSTRAPS} - 1) AS BIGINT) + 1] END AS hi FROM g LEFT JOIN r USING ({_KEYS}))
 """
 )
 

@@ -182,7 +182,7 @@ def profile(traces: DataFrame, label: str) -> DataFrame:
     """The share of each key in the whole run time, the largest first."""
     from plumbline.functions.numeric import upper_median
 
-    own = labelled(traces, label).groupBy(*KEY).agg(F.sum("runtime_ns").alias("total_ns"), upper_median(F.col("runtime_ns")).alias("median_ns"), F.count("*").alias("calls"))
+    own = labelled(traces, label).groupBy(*KEY).agg(F.sum("runtime_ns").alias("total_ns"), upper_median("runtime_ns").alias("median_ns"), F.count("*").alias("calls"))
     whole = own.agg(F.sum("total_ns").alias("_all"))
     share: Column = F.coalesce(F.try_divide(F.lit(100.0) * F.col("total_ns"), F.col("_all")), F.lit(0.0))
     return own.join(F.broadcast(whole)).select(*KEY, "total_ns", "median_ns", "calls", share.alias("percent")).orderBy(F.desc("total_ns"), *KEY)
@@ -192,6 +192,6 @@ def stage_breakdown(stages: DataFrame) -> DataFrame:
     """(run, stage, accelerated, ns) by stage: totals, upper medians and shares of the whole."""
     from plumbline.functions.numeric import upper_median
 
-    own = stages.groupBy("stage").agg(F.sum("ns").alias("total_ns"), F.sum(F.when(F.col("accelerated"), F.col("ns")).otherwise(0.0)).alias("accelerated_ns"), upper_median(F.col("ns")).alias("median_ns"))
+    own = stages.groupBy("stage").agg(F.sum("ns").alias("total_ns"), F.sum(F.when(F.col("accelerated"), F.col("ns")).otherwise(0.0)).alias("accelerated_ns"), upper_median("ns").alias("median_ns"))
     whole = own.agg(F.sum("total_ns").alias("_all"))
     return own.join(F.broadcast(whole)).select("stage", "total_ns", "accelerated_ns", "median_ns", F.coalesce(F.try_divide("total_ns", "_all"), F.lit(0.0)).alias("share")).orderBy(F.desc("total_ns"), "stage")
