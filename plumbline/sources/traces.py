@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import functools
-import inspect
 import json
 import logging
 import os
 import platform
+import re
+import sys
 import threading
 import time
+import traceback
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -43,20 +45,24 @@ TRACE = T.StructType(
 )
 
 
-def _cpu_model() -> str:
-    try:
-        for line in Path("/proc/cpuinfo").read_text().splitlines():
-            if line.startswith("model name"):
-                return line.split(":", 1)[1].strip()
-    except OSError:
-        pass
-    return platform.processor() or "unknown"
+_CPU_NAME = re.compile(r"^(?:model name|cpu model|Processor)\s*:\s*(\S.*?)\s*$", re.M)
 
 
 @functools.lru_cache(maxsize=8)
 def hardware_fingerprint(spark: SparkSession | None = None) -> str:
     """What a timing depends on besides the code, as JSON with sorted keys."""
-    facts = {"system": platform.system(), "machine": platform.machine(), "cpu_model": _cpu_model(), "cpu_count": os.cpu_count() or 1, "python_version": platform.python_version(), "numpy_version": np.__version__}
+    machine = platform.uname()
+    told = Path("/proc/cpuinfo")
+    names = _CPU_NAME.findall(told.read_text(errors="replace")) if told.is_file() else []
+    facts = {
+        # fixed names of the facts that must be comparable between stores
+        "system": machine.system,
+        "machine": machine.machine,
+        "cpu_model": next(iter(names), machine.processor or "unknown"),
+        "cpu_count": os.cpu_count() or 1,
+        "python_version": platform.python_version(),
+        "numpy_version": np.__version__,
+    }
     if spark is not None:
         sc = spark.sparkContext
         facts |= {"spark_version": spark.version, "master": sc.master, "parallelism": sc.defaultParallelism, "executor_cores": sc.getConf().get("spark.executor.cores", "")}
@@ -64,19 +70,19 @@ def hardware_fingerprint(spark: SparkSession | None = None) -> str:
 
 
 def call_site() -> str | None:
-    """file:line of the nearest caller outside this package."""
-    inside = str(Path(__file__).resolve().parents[1])
-    for frame in inspect.stack()[1:]:
-        if not os.path.abspath(frame.filename).startswith(inside):
-            return f"{os.path.basename(frame.filename)}:{frame.lineno}"
-    return None
+    """file:line of the nearest caller whose module is not of this package; none if there is none."""
+    package = __name__.partition(".")[0]
+    callers = traceback.walk_stack(sys._getframe(1))
+    outside = ((frame.f_code.co_filename, line) for frame, line in callers if frame.f_globals.get("__name__", "").partition(".")[0] != package)
+    return next((f"{Path(file).name}:{line}" for file, line in outside), None)
 
 
 class TraceStore:
-    """An append-only table. Rows are buffered and written in one file for each flush.
+    """An append-only table, in a folder for each run label. Rows are buffered and written at each flush.
 
-    A failed write is logged, never raised.  A missing table reads as an empty one, and columns
-    that older files lack read as null.
+    A reader of one label reads its folder only.  A failed write is logged, never raised.  A missing
+    table reads as an empty one, and columns that older files lack read as null; files of older
+    versions that lie beside the folders are read, too.  ``compact`` joins the small files of the flushes.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, *, profile: bool = False, flush_rows: int = 10_000):
@@ -114,16 +120,32 @@ class TraceStore:
         if not rows:
             return
         try:
-            self.spark.createDataFrame(rows, TRACE).coalesce(1).write.mode("append").parquet(self.path)
+            self.spark.createDataFrame(rows, TRACE).coalesce(1).write.mode("append").partitionBy("run_label").parquet(self._labels)
         except Exception:
             logger.warning("plumbline: the traces could not be written", exc_info=True)
 
+    @property
+    def _labels(self) -> str:
+        return f"{self.path.rstrip('/')}/labels"
+
+    def _found(self, pattern: str) -> bool:
+        """Whether there are files of this pattern in any of Spark's file systems."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+        return bool(path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path))
+
     def traces(self) -> DataFrame:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            return self.spark.createDataFrame([], TRACE)
-        return migrated(self.spark.read.option("mergeSchema", "true").parquet(self.path))
+        """All traces; a condition on ``run_label`` reads the folders of those labels only."""
+        out = [migrated(self.spark.read.schema(TRACE).parquet(self._labels))] if self._found(f"{self._labels}/run_label=*") else []
+        if self._found(f"{self.path}/*.parquet"):
+            out.append(migrated(self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/*.parquet")))
+        return functools.reduce(DataFrame.union, out) if out else self.spark.createDataFrame([], TRACE)
+
+    def compact(self, label: str) -> None:
+        """Writes the rows of ``label`` anew, in one file; no other process may write that label meanwhile."""
+        from plumbline.plans.materialize import table
+
+        own = table(labelled(self.traces(), label), "traces")
+        own.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_label").parquet(self._labels)
 
 
 def migrated(traces: DataFrame) -> DataFrame:

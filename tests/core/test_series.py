@@ -128,6 +128,134 @@ def test_trace_store(spark, tmp_path, monkeypatch, caplog):
     assert not tr.TraceStore(spark, str(tmp_path / "off")).enabled
 
 
+def test_labels_are_folders(spark, tmp_path):
+    """A label's reader reads its folder only; labels keep their type; old files beside the folders count."""
+    store = tr.TraceStore(spark, str(tmp_path / "t"))
+    one = dict(contiguous=1, selected_kernel="scalar", runtime_ns=1.0)
+    for label in ("007", "baseline:a b/c", None):
+        for _ in range(3):
+            store.record("filter", 5, "float64", run_label=label, **one)
+        store.flush()
+    spark.createDataFrame([(1, "filter", "old")], "id long, operator string, run_label string").write.mode("append").parquet(str(tmp_path / "old"))
+    (next((tmp_path / "old").glob("*.parquet"))).rename(tmp_path / "t" / "old.parquet")
+    assert {r["run_label"]: r["count"] for r in store.traces().groupBy("run_label").count().collect()} == {"007": 3, "baseline:a b/c": 3, None: 3, "old": 1}
+    plan = tr.labelled(store.traces(), "007")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(run_label" in plan
+    store.record("filter", 5, "float64", run_label="007", **one)
+    store.flush()
+    store.compact("007")
+    assert len(list((tmp_path / "t" / "labels" / "run_label=007").glob("*.parquet"))) == 1 and tr.labelled(store.traces(), "007").count() == 4
+    assert store.traces().count() == 11
+
+
+def test_numpy_reductions(spark):
+    s = series(spark, [1, 2, 3, 4])
+    assert np.sum(s) == np.sum(s, axis=0) == 10.0 and np.mean(s) == np.mean(s, axis=0) == 2.5 and np.std(s) == np.std([1, 2, 3, 4])
+    assert np.std(s, ddof=1) == pytest.approx(np.std([1, 2, 3, 4], ddof=1)) and np.sum(s, dtype=np.float32).dtype == np.float32
+    for bad in (dict(axis=1), dict(out=np.empty(()))):
+        with pytest.raises(ValueError):
+            np.sum(s, **bad)
+
+
+def test_bad_logs_stay_in_place(spark):
+    """What NumPy gives for logarithms of 0 and less, for a deviation of 0 and for windows over such values."""
+    values = [1.0, 2.0, 0.0, 4.0, -1.0, 8.0, 16.0, 32.0]
+    with np.errstate(all="ignore"):
+        logs = np.log(np.array(values))
+        want = np.diff(logs)
+    s = series(spark, values)
+    assert np.array_equal(s.log().to_numpy(), logs, equal_nan=True) and np.allclose(s.diff_log().to_numpy(), want, equal_nan=True)
+    rolled = s.diff_log().rolling_sum(2).to_numpy()
+    assert rolled.size == 6 and np.isclose(rolled[-1], 2 * np.log(2)) and np.isnan(rolled[2])
+    assert np.isnan(series(spark, [5, 5, 5]).zscore().to_numpy()).tolist() == [True] * 3
+
+
+def test_nulls(spark):
+    df = spark.createDataFrame([(1, 1.0), (2, None), (3, 3.0)], "i long, v double")
+    assert Series(df, "v", "i").sum() == 4.0
+    with pytest.raises(Exception, match="v has nulls"):
+        Series(df, "v", "i", nulls="reject").sum()
+    halved = Series(df.na.drop(), "v", "i", nulls="reject").project_affine(1, 0).map(lambda x: F.when(x > 1, x))
+    with pytest.raises(Exception, match="v has nulls"):
+        halved.sum()
+
+
+@pytest.mark.parametrize("strategy", ["window", "halo"])
+def test_hot_keys_and_clashing_columns(spark, strategy, monkeypatch):
+    """One key of nine tenths of the rows, a null key, and columns of the operators' own names."""
+    from plumbline.operators import ordering
+
+    monkeypatch.setattr(ordering, "BLOCK_ROWS", 64)
+    rng = random.Random(5)
+    rows = [(k, "hot" if k % 10 else [None, "a", "b"][k // 10 % 3], rng.uniform(1, 9), k, "x", 1.5) for k in range(1000)]
+    df = spark.createDataFrame(rows, "i long, g string, v double, _row long, _out string, _last double").repartition(4)
+    want = {}
+    for k, g, v, *_ in rows:
+        want.setdefault(g, []).append((k, v))
+    s = Series(df, "v", "i", "g", strategy=strategy)
+    got = {(r["g"], r["i"]): r for r in s.rolling_sum(7).df.collect()}
+    assert {(g, k): pytest.approx(sum(x for _, x in own[n - 6 : n + 1])) for g, own in want.items() for n, (k, _) in enumerate(own) if n >= 6} == {k: r["v"] for k, r in got.items()}
+    assert all(r["_row"] == r["i"] and r["_out"] == "x" for r in got.values())
+    assert {(r["g"], r["i"]): r["v"] for r in s.diff().df.collect()} == {(g, b[0]): pytest.approx(b[1] - a[1]) for g, own in want.items() for a, b in zip(own, own[1:])}
+    sums = prefix_sums(df.select("i", "g", "v"), "v", ["i"], ["g"], block=50, single=0 if strategy == "halo" else 10**6).collect()
+    total = {(g, k): sum(x for _, x in own[: n + 1]) for g, own in want.items() for n, (k, _) in enumerate(own)}
+    assert {(r["g"], r["i"]): r["v"] for r in sums} == {k: pytest.approx(v) for k, v in total.items()}
+
+
+def test_one_count_for_a_chain(spark, monkeypatch):
+    s = series(spark, range(1, 50))
+    counted = []
+    monkeypatch.setattr(type(s), "most", lambda own, real=type(s).most: counted.append(len(own._most)) or real(own))
+    s.diff_log().rolling_mean(3).diff().zscore()
+    assert counted == [0, 1, 1]
+
+
+def test_upper_medians(spark):
+    from plumbline.functions.numeric import upper_median
+
+    for values in ([3.0], [1.0, 2.0], [5.0, 1.0, 3.0], [4.0, 1.0, 3.0, 2.0], [2.0, 2.0, 7.0, 7.0, 1.0, 9.0]):
+        assert series(spark, values).df.agg(upper_median("v")).first()[0] == sorted(values)[len(values) // 2]
+
+
+def test_distributed_bootstrap(spark):
+    """The blocks' draws against one loop over all draws and picks."""
+    rng = random.Random(4)
+    b, c = [rng.uniform(90, 110) for _ in range(23)], [rng.uniform(95, 120) for _ in range(31)]
+    side = lambda xs: spark.createDataFrame([("filter", "float64", 10, xs), ("filter", "float32", 10, [1.0])], "operator string, dtype string, row_count long, samples array<double>")
+
+    def place(i, k, n, salt):
+        x = (i * 65537 + k * 257 + salt) % 2147483647
+        for factor, shift in ((48271, 11), (69621, 12345)):
+            x = (x * factor + shift) % 2147483647
+            x = (x * x + shift) % 2147483647
+        return x * n >> 31
+
+    def mean(xs, i, salt):
+        return sum(xs[place(i, k, len(xs), salt)] for k in range(len(xs))) / len(xs)
+
+    draws = sorted((mean(c, i, 7) - mean(b, i, 6)) / mean(b, i, 6) for i in range(1100))
+    got = {r["dtype"]: r for r in regression.bootstrap_intervals(side(b), side(c), 1100, seed=3).collect()}
+    low, high = regression.bounds(1100, regression.bonferroni(2))
+    assert (got["float64"]["ci_low"], got["float64"]["ci_high"]) == (pytest.approx(draws[low]), pytest.approx(draws[high]))
+    assert got["float32"]["ci_low"] is None and got["float32"]["comparisons"] == 2
+    usual = regression.bootstrap(b, c, 4000, regression.bonferroni(2), seed=1)
+    assert got["float64"]["ci_low"] == pytest.approx(usual[1], abs=0.02) and got["float64"]["estimate"] == pytest.approx(usual[0])
+
+
+def test_cleared_tables(spark):
+    from plumbline.plans.materialize import clear, guarded, scratch, table
+
+    table(spark.range(3).toDF("x"), "t")
+    folder = f"{scratch(spark)}/plumbline/{spark.sparkContext.applicationId}".removeprefix("file://")
+    import os
+
+    assert os.path.isdir(folder)
+    clear(spark)
+    assert not os.path.exists(folder)
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert hinted(guarded(spark.range(9).toDF("x"))) and not hinted(guarded(spark.range(9).toDF("x"), limit=8)) and not hinted(guarded(spark.range(9).toDF("x"), size=64))
+
+
 def test_hardware_confound(spark):
     def warn(b, c):
         rows = [(h, "b") for h in b] + [(h, "c") for h in c]
