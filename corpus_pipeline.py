@@ -6,62 +6,72 @@ Each stage takes the documents that its predecessor kept.  All but the last retu
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontamination, packing, quality, secret_scan
-from plumbline.llm.common import guarded, scratch, table
+from plumbline.llm.common import free, guarded, table
 from plumbline.llm.near_duplicates import jaccard_components
 from plumbline.llm.queries import tokenizer
 
-#: A row's identity: its id, which may be null or repeated, and its text.
-_KEY = "_row_key"
-
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(_KEY, F.struct(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("hash")))
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a row's identity, its id, which may be null or repeated, and its text; and that column's name."""
+    key = free("row_key", docs.columns)
+    return docs.withColumn(key, F.struct(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("hash"))), key
 
 
-def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with keys, whose key isn't in ``keys``."""
-    keys = keys.select(F.col(_KEY).alias("_gone")).distinct()
-    keys = table(keys, "gone")
-    return docs.join(guarded(keys), docs[_KEY] == F.col("_gone"), "left_anti").drop(_KEY)
+def _without(docs: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose key isn't in ``keys``."""
+    gone = free("gone", docs.columns)
+    keys = table(keys.select(F.col(key).alias(gone)).distinct(), "gone")
+    return docs.join(guarded(keys), docs[key] == keys[gone], "left_anti")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality rules reject, those without words among them."""
-    own = _keyed(docs)
-    return _without(own, quality.assess(own, id_col=_KEY).where("not kept"))
+    """Drops the documents that the quality rules reject, those without words (null and empty texts) among them.
+
+    Rows equal in id and text stay or go together; null ids are documents like others; very long
+    texts are judged whole; languages without a reference are left to the base rules.
+    """
+    own, key = _keyed(docs)
+    return _without(own, key, quality.assess(own, id_col=key).where("not kept")).drop(key)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates (five words, 0.8): that of least id.
 
-    Of rows equal in id and text one stays; documents without words are nobody's duplicates.
+    Of rows equal in id and text one stays; of several texts with the least id, that of least hash;
+    a null id is less than others.  Documents without words are nobody's duplicates.
     """
-    own = _keyed(docs)
-    told = jaccard_components(own, id_col=_KEY, width=5, threshold=(80, 100))
-    told = table(told.groupBy(_KEY).agg(F.count("*").alias("rows"), F.first("component_id").alias("component_id")), "kept")
-    left = _without(own, told.where(F.col("component_id") != F.col(_KEY)))
-    twice = told.where("rows > 1 and component_id = _row_key").select(F.col(_KEY).alias("_twice"))
+    own, key = _keyed(docs)
+    told = jaccard_components(own, id_col=key, width=5, threshold=(80, 100))
+    told = table(told.groupBy(key).agg(F.count("*").alias("rows"), F.first("component_id").alias("component_id")), "kept")
+    left = _without(own, key, told.where(F.col("component_id") != F.col(key)))
+    twice = told.where((F.col("rows") > 1) & (F.col("component_id") == F.col(key))).select(F.col(key).alias(free("twice", own.columns)))
     if twice.isEmpty():
-        return left
-    left, many = _keyed(left), guarded(twice)
-    same = F.col(_KEY) == F.col("_twice")
-    return left.join(many, same, "left_anti").union(left.join(many, same, "left_semi").dropDuplicates([_KEY])).drop(_KEY)
+        return left.drop(key)
+    twice = table(twice, "twice")
+    many, same = guarded(twice), left[key] == twice[twice.columns[0]]
+    return left.join(many, same, "left_anti").union(left.join(many, same, "left_semi").dropDuplicates([key])).drop(key)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold an item of ``benchmark``."""
-    own = _keyed(docs)
-    return _without(own, decontamination.contaminated(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=_KEY))
+    """Drops the documents that hold an item of ``benchmark`` with edits of up to a fifth of its length.
+
+    Null and empty texts hold nothing and stay, as do all documents where there are no items; rows
+    equal in id and text go together; one item is enough, whichever of several ties; texts are read whole.
+    """
+    own, key = _keyed(docs)
+    return _without(own, key, decontamination.contaminated(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=key)).drop(key)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets by [SECRET]; texts without secrets stay as they are."""
+    """Replaces secrets by [SECRET]; texts without secrets, null and empty ones among them, stay as they are.
+
+    Spans that overlap become one [SECRET]; ``n_chars`` of a changed text is counted anew; repeated
+    rows and null ids are kept, each row by itself; a secret of any length goes whole.
+    """
     names = docs.columns
     out = secret_scan.scan(docs, keep=True)
     text = F.col("doc.text")
@@ -73,7 +83,11 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the kept documents in sequences of 1024 tokens."""
+    """The pieces of the kept documents in sequences of 1024 tokens.
+
+    A null or empty text is its end token alone; repeated rows and null ids are documents like
+    others; a text longer than a sequence has pieces in several; no documents give no pieces.
+    """
     return packing.pack(docs, tokenizer=tokenizer("byte_bpe_50k.json"))
 
 
@@ -94,9 +108,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            path = f"{scratch(spark)}/plumbline/stage-{k}-{uuid.uuid4().hex}"
-            out.write.parquet(path)
-            out = spark.read.parquet(path)
-        docs = out
+        docs = table(out, f"stage-{k}") if k + 1 < len(STAGES) else out
     return docs
