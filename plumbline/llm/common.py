@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.plans.materialize import guarded, scratch, ship, table
 
-__all__ = ["columns", "guarded", "scratch", "sha256_of", "ship", "slices", "table"]
+__all__ = ["columns", "free", "guarded", "scratch", "sha256_of", "ship", "slices", "table"]
 
 
 def columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -18,6 +18,13 @@ def columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text"))
 
 
+def free(name: str, taken: list[str]) -> str:
+    """``name`` with underscores in front until it is not among ``taken``, whatever the case."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = f"_{name}"
+    return name
+
+
 def sha256_of(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import columns, ship, table
+from plumbline.llm.common import columns, free, ship, table
 
 #: Records meant for a range, bounds on the number of ranges, sampled keys for each range.
 RANGE_ROWS, MIN_RANGES, MAX_RANGES, OVERSAMPLE = 20_000, 64, 1 << 16, 16
@@ -117,20 +117,13 @@ def shard_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return placed.join(F.broadcast(first), "shard").select(F.col("_id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("row") - F.col("first")).alias("slot"))
 
 
-def _free(name: str, taken: list[str]) -> str:
-    """``name``, or with underscores in front until it is not taken, whatever the case."""
-    while name.lower() in {t.lower() for t in taken}:
-        name = f"_{name}"
-    return name
-
-
 def write_shards(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, files_per_shard: int = 8) -> None:
     """Writes ``docs`` to ``path``, one folder ``shard=...`` for each shard; rows equal in id and text share one.
 
     All columns are kept; if one is named ``shard``, the folders' name gets underscores in front.
     Null ids and texts are written like others; no rows give an empty table.
     """
-    shard, key, crc = (_free(x, docs.columns) for x in ("shard", "shard_key", "shard_crc"))
+    shard, key, crc = (free(x, docs.columns) for x in ("shard", "shard_key", "shard_crc"))
     plan = shard_plan(docs, id_col=id_col, text_col=text_col, shards=shards)
     where = plan.groupBy(F.col(id_col).alias(key), F.col("text_crc32").alias(crc)).agg(F.min("shard").alias(shard))
     sums = F.crc32(F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary"))

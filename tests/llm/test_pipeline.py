@@ -55,6 +55,25 @@ def test_stages_against_brute_force(spark):
     assert secret_scan.RULES
 
 
+def test_odd_rows_of_each_stage(spark):
+    """Clashing columns, null ids and texts, repeated rows, ties, and a very long text with a secret at its end."""
+    schema = "doc_id long, text string, lang string, n_chars long, row_key int, gone string, twice string, spans string, doc string, _clean int, label string"
+    more = (7, "a", "b", "c", "d", 8, "e")
+    words = " ".join(f"word{k} of the text that" for k in range(30))
+    long = " ".join(f"part{k} the of and" for k in range(60_000)) + " password = abcdefghijkl"
+    rows = [(1, words, "en", 5, *more), (1, words, "en", 5, *more), (None, words + " end", "en", 5, *more), (2, None, None, None, *more), (3, "", "en", 0, *more), (None, None, None, None, *more), (4, long, "en", len(long), *more)]
+    docs = spark.createDataFrame(rows, schema)
+    stages = dict(corpus_pipeline.STAGES)
+    run = lambda name: sorted(map(tuple, table(stages[name](spark, docs, SF), "stage").collect()), key=str)
+    assert run("quality rules") == sorted((r for r in rows if r[1] and len(r[1]) > 9), key=str)
+    assert run("n-gram Jaccard join") == sorted([rows[2], *rows[3:]], key=str)
+    assert run("benchmark decontamination") == sorted(rows, key=str)
+    clean = long.replace("password = abcdefghijkl", "[SECRET]")
+    assert run("secret scans") == sorted([*rows[:-1], (4, clean, "en", len(clean), *more)], key=str)
+    pieces = stages["packing"](spark, docs, SF).collect()
+    assert sum(p["start"] == 0 for p in pieces) == len(rows) and sum(p["length"] for p in pieces if p["doc_id"] == 4) == next(p["doc_tokens"] for p in pieces if p["doc_id"] == 4)
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0 and corpus_pipeline.ORACLE_SQL is None
 
