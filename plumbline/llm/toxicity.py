@@ -25,6 +25,8 @@ from plumbline.llm.shingles import blocks, word_hashes
 
 #: Hashed word features; labelled rows that are learned from at most; folds; training steps; penalty.
 FEATURE_BITS, TRAIN_ROWS, FOLDS, STEPS, PENALTY = 20, 8_000, 3, 120, 0.001
+#: Features that are added to a model at once, and how often.
+ACTIVE, ROUNDS = 400, 4
 #: Documents that a feature must occur in to be learned.
 LEAST_USES = 3
 #: Probability from which a document is called toxic.
@@ -95,57 +97,104 @@ class Link:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(x: Sparse, earlier: np.ndarray, y: np.ndarray, steps: int = STEPS, penalty: float = PENALTY) -> Link:
+@dataclass
+class Merged:
+    """Rows with one feature for all that occur in the same rows: these have the same weight."""
+
+    x: Sparse
+    many: np.ndarray  # features that each stands for
+    used: np.ndarray  # the features
+    same: np.ndarray  # what each of these became
+
+    @classmethod
+    def of(cls, x: Sparse) -> Merged:
+        held = np.bincount(x.index, minlength=1 << FEATURE_BITS) > 0
+        used = np.flatnonzero(held)
+        place = (np.cumsum(held) - 1)[x.index]
+        mark = np.bincount(place, np.random.Generator(np.random.PCG64(5)).random(x.n)[x.row], used.size)
+        _, first, same, many = np.unique(mark, return_index=True, return_inverse=True, return_counts=True)
+        number = np.full(used.size, -1, np.int32)
+        number[first] = np.arange(first.size)
+        number = number[place]
+        own = number >= 0
+        return cls(Sparse(number[own], x.row[own], x.n), many, used, same.reshape(-1))
+
+    def take(self, keep: np.ndarray) -> Merged:
+        return Merged(self.x.take(keep), self.many, self.used, self.same)
+
+    def spread(self, link: Link) -> Link:
+        """A model of merged features as one of all."""
+        return Link(np.bincount(self.used, (link.weights / self.many)[self.same], 1 << FEATURE_BITS), link.chain, link.bias)
+
+
+def _part(x: Sparse, chosen: np.ndarray, size: int) -> Sparse:
+    """The rows with the chosen features only, numbered anew."""
+    number = np.full(size, -1, np.int32)
+    number[chosen] = np.arange(chosen.size)
+    own = number[x.index]
+    held = own >= 0
+    return Sparse(own[held], x.row[held], x.n)
+
+
+def _fitted(data: Merged, earlier: np.ndarray, y: np.ndarray, steps: int, penalty: float) -> Link:
     """Full-batch logistic regression with per-weight steps; both classes weigh the same.
 
-    The sum of the weights' sizes is penalised, so words that tell little have no weight.
+    The sum of the weights' sizes is penalised, so words that tell little have no weight.  Only
+    features that pull by more than the penalty can get a weight: ACTIVE of the strongest are fitted,
+    then those of the others that pull by more are added, until there are none.
     """
+    x, many = data.x, data.many
     n, width = max(1, x.n), earlier.shape[1]
+    w, c, b = np.zeros(many.size), np.zeros(width), 0.0
     positive = y.sum()
     if positive in (0, x.n):
-        return Link(np.zeros(1 << FEATURE_BITS), np.zeros(width), 30.0 if positive else -30.0)
+        return Link(w, c, 30.0 if positive else -30.0)
     share = np.where(y > 0, n / (2 * positive), n / (2 * (n - positive)))
-    # a weight stays 0 if neither class can ever pull by more than the penalty: nothing is lost with it
-    pull = [np.bincount(x.index, (share / n * side)[x.row], 1 << FEATURE_BITS) for side in (y > 0, y <= 0)]
-    own = (np.maximum(*pull) > penalty)[x.index]
-    x = Sparse(x.index[own], x.row[own], x.n)
-    used, place = np.unique(x.index, return_inverse=True)  # the features that are left, numbered anew
-    # features of the same rows have the same weight, so one of them is fitted for all
-    mark = np.bincount(place.reshape(-1), np.random.Generator(np.random.PCG64(5)).random(x.n)[x.row], used.size)
-    _, first, same, many = np.unique(mark, return_index=True, return_inverse=True, return_counts=True)
-    number = np.full(used.size, -1, np.int32)
-    number[first] = np.arange(first.size)
-    own = number[place.reshape(-1)] >= 0
-    x = Sparse(number[place.reshape(-1)[own]], x.row[own], x.n)
-    w, c, b = np.zeros(first.size), np.zeros(width), 0.0
-    seen, seen_c, seen_b = np.full(w.size, 1e-8), np.full(width, 1e-8), 1e-8
-    for _ in range(steps):
+    chosen = np.empty(0, np.int64)
+    for k in range(ROUNDS):
         error = share * (Link(w * many, c, b).scores(x, earlier) - y) / n
-        g = np.bincount(x.index, error[x.row], w.size)
-        seen += g * g
-        rate = 0.5 / np.sqrt(seen)
-        moved = w - rate * g
-        w = np.sign(moved) * np.maximum(0.0, np.abs(moved) - rate * penalty)
-        g = earlier.T @ error
-        seen_c += g * g
-        c -= 0.3 * g / np.sqrt(seen_c)
-        g = error.sum()
-        seen_b += g * g
-        b -= 0.3 * g / np.sqrt(seen_b)
-    return Link(np.bincount(used, w[same.reshape(-1)], 1 << FEATURE_BITS), c, b)
+        pull = np.abs(np.bincount(x.index, error[x.row], many.size))
+        pull[chosen] = 0.0
+        more = np.argsort(-pull, kind="stable")[:ACTIVE]
+        more = more[pull[more] > penalty]
+        if not more.size:
+            break
+        chosen = np.sort(np.append(chosen, more))
+        own, u, times = _part(x, chosen, many.size), w[chosen], many[chosen]
+        seen, seen_c, seen_b = np.full(u.size, 1e-8), np.full(width, 1e-8), 1e-8
+        for _ in range(steps if k == 0 else steps // 2):
+            error = share * (Link(u * times, c, b).scores(own, earlier) - y) / n
+            g = np.bincount(own.index, error[own.row], u.size)
+            seen += g * g
+            rate = 0.5 / np.sqrt(seen)
+            moved = u - rate * g
+            u = np.sign(moved) * np.maximum(0.0, np.abs(moved) - rate * penalty)
+            g = earlier.T @ error
+            seen_c += g * g
+            c = c - 0.3 * g / np.sqrt(seen_c)
+            g = error.sum()
+            seen_b += g * g
+            b -= 0.3 * g / np.sqrt(seen_b)
+        w[chosen] = u
+    return Link(w * many, c, b)
+
+
+def fit(x: Sparse, earlier: np.ndarray, y: np.ndarray, steps: int = STEPS, penalty: float = PENALTY) -> Link:
+    """A logistic model of the rows' features and ``earlier`` columns."""
+    data = Merged.of(x)
+    return data.spread(_fitted(data, earlier, y, steps, penalty))
 
 
 def fit_chain(x: Sparse, targets: np.ndarray, fold: np.ndarray) -> list[Link]:
     """One link for each column of ``targets``; later links see out-of-fold probabilities of earlier ones."""
-    earlier, chain = np.zeros((x.n, 0)), []
+    earlier, chain, data = np.zeros((x.n, 0)), [], Merged.of(x)
+    folds = [(np.flatnonzero(fold == f), data.take(np.flatnonzero(fold == f)), np.flatnonzero(fold != f), data.take(np.flatnonzero(fold != f))) for f in range(FOLDS)]
     for k in range(targets.shape[1]):
-        chain.append(fit(x, earlier, targets[:, k]))
+        chain.append(data.spread(_fitted(data, earlier, targets[:, k], STEPS, PENALTY)))
         if k + 1 < targets.shape[1]:
             out = np.zeros(x.n)
-            for f in range(FOLDS):
-                rest, own = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-                link = fit(x.take(rest), earlier[rest], targets[rest, k])
-                out[own] = link.scores(x.take(own), earlier[own])
+            for own, told, rest, learned in folds:
+                out[own] = _fitted(learned, earlier[rest], targets[rest, k], STEPS, PENALTY).scores(told.x, earlier[own])
             earlier = np.column_stack([earlier, out])
     return chain
 
