@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -250,11 +251,21 @@ def test_language(spark):
     assert all(0 <= r["score"] <= 1 for r in told)
 
 
-def test_language_profiles(texts):
-    for text in list(texts.values())[:40]:
-        want = brute.grams(text or "")
-        codes, counts = language_id.gram_counts(text)
-        assert sorted(counts.tolist()) == sorted(want.values())
+def test_language_by_brute_force(docs, texts):
+    """Profiles, out-of-place distances and choices against dictionaries of grams, tricky and long texts among them."""
+    code = lambda gram: sum((1 if c == " " else ord(c) + 1) << 21 * k for k, c in enumerate(reversed(gram)))
+    order = lambda counts: [code(g) for g in sorted(counts, key=lambda g: (-counts[g], code(g)))][: language_id.PROFILE]
+    grams = {i: brute.grams(t or "") for i, t in texts.items()}
+    langs = {f"l{k}": sum((grams[i] for i in texts if i % 3 == k), Counter()) for k in range(3)}
+    profiles = language_id.learn(docs.withColumn("lang", F.concat(F.lit("l"), F.col("doc_id") % 3)))
+    assert profiles == {lang: order(counts) for lang, counts in langs.items()}
+    places = {lang: {g: k for k, g in enumerate(own)} for lang, own in profiles.items()}
+    got = by_id(language_id.identify(docs, profiles))
+    for i in texts:
+        own = order(grams[i])
+        told = sorted((sum(abs(places[lang][g] - k) if g in places[lang] else language_id.PROFILE for k, g in enumerate(own)), lang) for lang in places)
+        want = (told[0][1], 1 - told[0][0] / (language_id.PROFILE * len(own))) if own else ("und", 0.0)
+        assert (got[i]["lang_pred"], got[i]["score"]) == (want[0], pytest.approx(want[1])), i
 
 
 def test_language_of_nothing(docs):
