@@ -69,7 +69,7 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", lambda hit: hit.rlike(rf"^{_BYTE}(?:\.{_BYTE}){{3}}$")),
     Kind("card", r"[0-9](?:[ -]?[0-9])++", _card),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda hit: F.length(_digits(hit)).between(10, 15)),
-    Kind("iban", "|".join(f"(?:{'|'.join(c)})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_COUNTRIES.items()), _iban, base=False),
+    Kind("iban", "(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(f"(?:{'|'.join(c)})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_COUNTRIES.items()) + ")", _iban, base=False),
 )
 #: Score of a kind by itself and beside one of its words.
 SCORES = {"email": (0.9, 1.0), "ip": (0.5, 0.8), "card": (0.8, 0.95), "phone": (0.6, 0.9), "iban": (0.9, 1.0)}
