@@ -55,15 +55,17 @@ def evaluate(baseline: list[float], current: list[float], *, min_pairs: int = 20
 
 
 #: Draws of a block, which is one row of the resampling, and numbers drawn at once.
-BLOCK_DRAWS, DRAWN_AT_ONCE = 250, 1 << 20
+BLOCK_DRAWS, DRAWN_AT_ONCE = 250, 1 << 16
 _PRIME = 2147483647
 
 
-def _reduced(x: np.ndarray) -> np.ndarray:
-    """``x`` modulo _PRIME, a number of 31 ones, by shifts; ``x`` is below 2**62."""
-    x = (x & _PRIME) + (x >> 31)
-    x = (x & _PRIME) + (x >> 31)
-    return x - _PRIME * (x >= _PRIME)
+def _reduced(x: np.ndarray, folds: int) -> np.ndarray:
+    """``x`` modulo _PRIME, a number of 31 ones, in place, by shifts; one fold does for numbers below 2**61, two for those below 2**62."""
+    for _ in range(folds):
+        high = x >> 31
+        x &= _PRIME
+        x += high
+    return np.subtract(x, _PRIME, out=x, where=x >= _PRIME)
 
 
 def places(draws: np.ndarray, picks: np.ndarray, n: int, salt: int) -> np.ndarray:
@@ -71,11 +73,17 @@ def places(draws: np.ndarray, picks: np.ndarray, n: int, salt: int) -> np.ndarra
 
     A few steps of whole-number arithmetic, so that every engine draws alike.
     """
-    x = _reduced(draws[:, None] * 65537 + picks[None, :] * 257 + salt)
+    x = _reduced(draws[:, None] * 65537 + picks[None, :] * 257 + salt, 1)
     for factor, shift in ((48271, 11), (69621, 12345)):
-        x = _reduced(x * factor + shift)
-        x = _reduced(x * x + shift)
-    return (x * n) >> 31
+        x *= factor
+        x += shift
+        x = _reduced(x, 1)
+        x *= x
+        x += shift
+        x = _reduced(x, 2)
+    x *= n
+    x >>= 31
+    return x
 
 
 def _means(samples: np.ndarray, draws: np.ndarray, salt: int) -> np.ndarray:
