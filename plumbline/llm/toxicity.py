@@ -188,13 +188,14 @@ def fit(x: Sparse, earlier: np.ndarray, y: np.ndarray, steps: int = STEPS, penal
 def fit_chain(x: Sparse, targets: np.ndarray, fold: np.ndarray) -> list[Link]:
     """One link for each column of ``targets``; later links see out-of-fold probabilities of earlier ones."""
     earlier, chain, data = np.zeros((x.n, 0)), [], Merged.of(x)
-    folds = [(np.flatnonzero(fold == f), data.take(np.flatnonzero(fold == f)), np.flatnonzero(fold != f), data.take(np.flatnonzero(fold != f))) for f in range(FOLDS)]
     for k in range(targets.shape[1]):
         chain.append(data.spread(_fitted(data, earlier, targets[:, k], STEPS, PENALTY)))
         if k + 1 < targets.shape[1]:
             out = np.zeros(x.n)
-            for own, told, rest, learned in folds:
-                out[own] = _fitted(learned, earlier[rest], targets[rest, k], STEPS, PENALTY).scores(told.x, earlier[own])
+            for f in range(FOLDS):  # one fold's rows at a time are copied
+                rest, own = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+                link = _fitted(data.take(rest), earlier[rest], targets[rest, k], STEPS, PENALTY)
+                out[own] = link.scores(data.take(own).x, earlier[own])
             earlier = np.column_stack([earlier, out])
     return chain
 
