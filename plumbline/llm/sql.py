@@ -86,7 +86,7 @@ known AS (SELECT lang FROM documents GROUP BY lang HAVING count(*) >= 20),
 ref AS (SELECT lang, kind, b, sum(v)::DOUBLE / sum(sum(v)) OVER (PARTITION BY lang, kind) AS q FROM bins WHERE lang IN (FROM known) GROUP BY lang, kind, b),
 js AS (SELECT doc_id, docs.kind, ref.lang, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2)) AS x FROM docs JOIN ref USING (kind, b) GROUP BY ALL),
 near AS (SELECT doc_id, min(x) FILTER (WHERE kind = 'c') AS c, min(x) FILTER (WHERE kind = 'w') AS w FROM js GROUP BY doc_id),
-f AS (SELECT h.*, near.c, near.w, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, c - 3.0::DOUBLE / sqrt(nullif(n_chars, 0)) AS x, w - 2.0::DOUBLE / sqrt(nullif(n_words, 0)) AS y FROM h LEFT JOIN near USING (doc_id))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(lang IN (FROM known WHERE lang IS NOT NULL) AND ((n_chars >= 150 AND (x > 0.125 OR x * 0.5 + y > 0.085)) OR (n_words >= 40 AND y > 0.085)), false) AS kept, round(coalesce(c, 0), 9) AS char_distance, round(coalesce(w, 0), 9) AS word_distance FROM f"""
+f AS (SELECT h.*, near.c, near.w, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM h LEFT JOIN near USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(lang IN (FROM known WHERE lang IS NOT NULL) AND ((n_chars >= 150 AND c > 0.32) OR (n_words >= 80 AND w > 0.285)), false) AS kept, round(coalesce(c, 0), 9) AS char_distance, round(coalesce(w, 0), 9) AS word_distance FROM f"""
 
 SQL = {"op1_secret_scan": SECRETS, "op2_pii": PERSONAL, "op3_ngram_jaccard": JACCARD, "op5_quality": QUALITY}

@@ -532,12 +532,12 @@ def test_toxicity_learns_rare_cues():
 
 
 def test_quality_recall(spark):
-    """Of labelled documents: nine tenths of the poor ones go, clean ones that pass the base rules stay."""
+    """Of labelled documents: four fifths of the poor ones go (base rules alone: under a half), all clean ones that pass the base rules stay."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     got = quality.assess(docs).join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").collect()
     poor, good = [r for r in got if r["quality"] == 0], [r for r in got if r["quality"] == 1 and not r["base_failed"]]
-    assert sum(not r["kept"] for r in poor) >= 0.92 * len(poor)
-    assert sum(r["kept"] for r in good) >= 0.999 * len(good)
+    assert sum(not r["kept"] for r in poor) >= 0.8 * len(poor) and sum(r["base_failed"] for r in poor) < 0.5 * len(poor)
+    assert all(r["kept"] for r in good)
 
 
 def test_quality_judges_no_language_by_another(spark):
