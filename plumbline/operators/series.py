@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions import numeric
+from plumbline.operators import ordering
 from plumbline.operators.ordering import ROW, windowed
 
 
@@ -179,29 +180,42 @@ class Series:
         rows, row = self._windowed(1, lambda w: {})
         return self._with(rows.where((F.col(row) >= start) & ((F.col(row) - start) % step == 0)).drop(row))
 
-    def _rolled(self, window: int, make: Callable[[Column, object], Column]) -> Series:
+    def _rolled(self, window: int, make: Callable[[Column, object], Column], finish: Callable[[Column, Column], Column], spread: bool = False) -> Series:
+        """``make`` tells the result from the values of a frame, ``finish`` from a wide one's sum and, with ``spread``, sum of squared deviations."""
         if window < 0:
             raise ValueError("window must not be negative")
         kind = self.df.schema[self.value].dataType
         if window == 0:
             return self._with(self.df.limit(0))
+        if window > ordering.FRAME_ROWS:
+            return self._rolled_wide(window, finish, spread)
         name = self._free("_out")
         rows, row = self._windowed(window, lambda w: {name: make(self.x.cast("double"), w.rowsBetween(1 - window, 0)).cast(kind)})
         return self._with(rows.where(F.col(row) >= window - 1).withColumn(self.value, F.col(name)).drop(name, row))
 
+    def _rolled_wide(self, window: int, finish: Callable[[Column, Column], Column], spread: bool) -> Series:
+        # no partition has so many rows; where nulls are rejected, the data must still be looked at
+        if self.nulls == "drop" and window > self.most():
+            return self._with(self.df.limit(0))
+        kind = self.df.schema[self.value].dataType
+        row, total, m2 = self._free(ROW), self._free("_total"), self._free("_m2")
+        rows = ordering.wide_sums(self.df, self.value, self.order, self.by, window, row, total, m2 if spread else None, self.strategy, self.most)
+        return self._with(rows.withColumn(self.value, finish(F.col(total), F.col(m2)).cast(kind)).drop(row, total, m2))
+
     def rolling_sum(self, window: int) -> Series:
         """Sums of ``window`` neighbours, at the last one's place; no partial windows; window 0 is empty."""
-        return self._eager("rolling", self._rolled(window, lambda x, w: F.sum(x).over(w)), window=window)
+        return self._eager("rolling", self._rolled(window, lambda x, w: F.sum(x).over(w), lambda total, _: total), window=window)
 
     def rolling_mean(self, window: int) -> Series:
         kind = self.df.schema[self.value].dataType
-        return self._eager("rolling", self._rolled(window, lambda x, w: F.sum(x).over(w).cast(kind) / numeric.literal(window, self.dtype)), window=window)
+        mean = lambda total: total.cast(kind) / numeric.literal(window, self.dtype)
+        return self._eager("rolling", self._rolled(window, lambda x, w: mean(F.sum(x).over(w)), lambda total, _: mean(total)), window=window)
 
     def rolling_var(self, window: int) -> Series:
-        return self._rolled(window, lambda x, w: F.var_pop(x).over(w))
+        return self._rolled(window, lambda x, w: F.var_pop(x).over(w), lambda _, m2: m2 / window, spread=True)
 
     def rolling_std(self, window: int) -> Series:
-        return self._rolled(window, lambda x, w: F.stddev_pop(x).over(w))
+        return self._rolled(window, lambda x, w: F.stddev_pop(x).over(w), lambda _, m2: F.sqrt(m2 / window), spread=True)
 
     def _lagged(self, make: Callable[[Column, Column], Column]) -> Series:
         name = self._free("_last")

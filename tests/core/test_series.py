@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import logging
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.operators import ordering
 from plumbline.operators.ordering import haloed, numbered
 from plumbline.operators.prefix import prefix_sums
 from plumbline.operators.series import Series, UnsupportedDTypeError
@@ -202,6 +204,48 @@ def test_hot_keys_and_clashing_columns(spark, strategy, monkeypatch):
     assert {(r["g"], r["i"]): r["v"] for r in sums} == {k: pytest.approx(v) for k, v in total.items()}
 
 
+def test_wide_windows_are_not_summed_anew(spark):
+    """The plan of a wide window has no moving frame of its width, nor has one that is longer than the series."""
+    s = series(spark, range(3000))
+    for wide in (1500, 3000, 3001):
+        for rolled in (s.rolling_sum(wide), s.rolling_mean(wide), s.rolling_std(wide), s.rolling_var(wide)):
+            plan = rolled.df._jdf.queryExecution().optimizedPlan().toString()
+            assert max([int(k) for k in re.findall(r"RowFrame, -(\d+)", plan)], default=0) <= ordering.FRAME_ROWS
+    assert s.rolling_sum(1500).to_numpy().tolist() == [1500 * (k - 749.5) for k in range(1499, 3000)]
+    assert s.rolling_sum(3001).to_numpy().size == 0
+    rejecting = Series(s.df.withColumn("v", F.when(F.col("i") != 7, F.col("v"))), "v", "i", nulls="reject")
+    with pytest.raises(Exception, match="v has nulls"):
+        rejecting.rolling_sum(3001).df.collect()
+
+
+@pytest.mark.parametrize("strategy", ["window", "halo"])
+@pytest.mark.parametrize("window", [5, 64, 65, 130, 193, 300, 897, 898, 901])
+def test_wide_windows(spark, strategy, window, monkeypatch):
+    """Frames of parts against NumPy: one key of nine tenths of the rows, a null key, columns of the parts' names."""
+    monkeypatch.setattr(ordering, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(ordering, "FRAME_ROWS", 4)
+    rng = random.Random(6)
+    rows = [(k, "hot" if k % 10 else [None, "a", "b"][k // 10 % 3], 1e6 + rng.uniform(1, 9), k, "x", 1.5) for k in range(1000)]
+    df = spark.createDataFrame(rows, "i long, g string, v double, _row long, held string, block double").repartition(4)
+    own = {}
+    for k, g, v, *_ in rows:
+        own.setdefault(g, []).append((k, v))
+    s = Series(df, "v", "i", "g", strategy=strategy)
+    for name, make in (("sum", np.sum), ("mean", np.mean), ("std", np.std), ("var", np.var)):
+        got = getattr(s, f"rolling_{name}")(window).df.collect()
+        want = {(g, xs[n][0]): pytest.approx(make([x for _, x in xs[n - window + 1 : n + 1]]), rel=1e-9) for g, xs in own.items() for n in range(window - 1, len(xs))}
+        assert {(r["g"], r["i"]): r["v"] for r in got} == want and len(got) == len(want)
+        assert all(r["_row"] == r["i"] and r["held"] == "x" and r["block"] == 1.5 for r in got)
+
+
+def test_wide_windows_keep_infinities(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "FRAME_ROWS", 2)
+    values = [1.0, 2.0, float("inf"), 4.0, 5.0, 6.0, float("nan"), 8.0, 9.0, 10.0, 11.0]
+    want = [float(sum(values[k - 3 : k + 1])) for k in range(3, len(values))]
+    assert series(spark, values).rolling_sum(4).to_numpy().tolist() == pytest.approx(want, nan_ok=True)
+    assert series(spark, values, "float").rolling_mean(4).to_numpy().tolist() == pytest.approx([x / 4 for x in want], nan_ok=True)
+
+
 def test_one_count_for_a_chain(spark, monkeypatch):
     s = series(spark, range(1, 50))
     counted = []
