@@ -54,18 +54,37 @@ def evaluate(baseline: list[float], current: list[float], *, min_pairs: int = 20
     return out | {"estimate": estimate, "ci_low": low, "ci_high": high, "status": "regression" if low > threshold else "within_noise"}
 
 
-#: Draws of a block, which is one row of the resampling, and numbers drawn at once.
-BLOCK_DRAWS, DRAWN_AT_ONCE = 250, 1 << 16
+#: Blocks of draws at least, each of which is one row of the resampling, and numbers drawn at once.
+BLOCKS, DRAWN_AT_ONCE = 24, 1 << 15
 _PRIME = 2147483647
+#: Steps from a draw, and from a pick, to the next; draws that are ``_PICK`` apart follow one course, ``_DRAW`` picks apart.
+_DRAW, _PICK = 65537, 257
 
 
-def _reduced(x: np.ndarray, folds: int) -> np.ndarray:
-    """``x`` modulo _PRIME, a number of 31 ones, in place, by shifts; one fold does for numbers below 2**61, two for those below 2**62."""
-    for _ in range(folds):
-        high = x >> 31
-        x &= _PRIME
-        x += high
-    return np.subtract(x, _PRIME, out=x, where=x >= _PRIME)
+def _mixed(x: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    """Two rounds of ``x`` * factor + shift and ``x`` * ``x`` + shift modulo _PRIME, a number of 31 ones, in place.
+
+    Numbers of 0 to 2**62 stay below 2**63 all the way, so a remainder is only made least at the end.
+    """
+
+    def fold() -> None:
+        np.right_shift(x, 31, out=spare)
+        np.bitwise_and(x, _PRIME, out=x)
+        np.add(x, spare, out=x)
+
+    fold()
+    for factor, shift in ((48271, 11), (69621, 12345)):
+        np.multiply(x, factor, out=x)
+        np.add(x, shift, out=x)
+        fold()
+        np.multiply(x, x, out=x)
+        np.add(x, shift, out=x)
+        fold()
+    fold()  # now _PRIME + 2 at most
+    np.add(x, 1, out=spare)
+    np.right_shift(spare, 31, out=spare)
+    np.add(x, spare, out=x)
+    return np.bitwise_and(x, _PRIME, out=x)
 
 
 def places(draws: np.ndarray, picks: np.ndarray, n: int, salt: int) -> np.ndarray:
@@ -73,14 +92,8 @@ def places(draws: np.ndarray, picks: np.ndarray, n: int, salt: int) -> np.ndarra
 
     A few steps of whole-number arithmetic, so that every engine draws alike.
     """
-    x = _reduced(draws[:, None] * 65537 + picks[None, :] * 257 + salt, 1)
-    for factor, shift in ((48271, 11), (69621, 12345)):
-        x *= factor
-        x += shift
-        x = _reduced(x, 1)
-        x *= x
-        x += shift
-        x = _reduced(x, 2)
+    x = np.add((draws * _DRAW + salt)[:, None], (picks * _PICK)[None, :])
+    x = _mixed(x, np.empty_like(x))
     x *= n
     x >>= 31
     return x
@@ -98,19 +111,83 @@ def _means(samples: np.ndarray, draws: np.ndarray, salt: int) -> np.ndarray:
     return out / samples.size
 
 
-def _slowdowns(seed: int):
-    """The slowdowns of the draws of each block, beside its key."""
+def on_course(course: int, salt: int, n_bootstrap: int) -> np.ndarray:
+    """The draws whose numbers are all ``course`` modulo _PICK: every _PICK-th, as _DRAW is 2 modulo _PICK and 129 is half of 1."""
+    return np.arange((course - salt) * 129 % _PICK, n_bootstrap, _PICK)
+
+
+def _means_on_course(sides: list[tuple[np.ndarray, np.ndarray, int]], course: int) -> list[np.ndarray]:
+    """The means of the draws on one course, for each side's samples, draws and salt.
+
+    A draw takes as many numbers of the course as it has picks, _DRAW further on than the draw before,
+    and the sides differ in where they begin.  So each number is made once, looked up once for each
+    side, and added to the sum between two ends of draws; these sums are then added up for each draw.
+    """
+    starts = [(draws * _DRAW + salt - course) // _PICK for _, draws, salt in sides]
+    cuts = [np.unique(np.concatenate([own, own + samples.size])) for own, (samples, _, _) in zip(starts, sides)]
+    # for each stretch between two cuts, whether any draw takes it
+    taken = [np.searchsorted(own, at[:-1], "right") > np.searchsorted(own + samples.size, at[:-1], "right") for own, at, (samples, _, _) in zip(starts, cuts, sides)]
+    sums = [np.zeros(at.size) for at in cuts]
+    begin, end = min(int(at[0]) for at in cuts), max(int(at[-1]) for at in cuts)
+    steps = np.arange(DRAWN_AT_ONCE) * _PICK
+    x, spare, found = np.empty_like(steps), np.empty_like(steps), np.empty(DRAWN_AT_ONCE)
+    for first in range(begin, end, DRAWN_AT_ONCE):
+        last = min(first + DRAWN_AT_ONCE, end)
+        wanted = []
+        for side, at in enumerate(cuts):
+            for k in range(max(int(np.searchsorted(at, first, "right")) - 1, 0), at.size - 1):
+                if at[k] >= last:
+                    break
+                if taken[side][k]:
+                    wanted.append((side, k, max(int(at[k]), first) - first, min(int(at[k + 1]), last) - first))
+        if not wanted:
+            continue
+        np.add(steps, first * _PICK + course, out=x)
+        _mixed(x, spare)
+        for side, k, i, j in wanted:
+            samples = sides[side][0]
+            place = np.multiply(x[i:j], samples.size, out=spare[i:j])
+            np.right_shift(place, 31, out=place)
+            sums[side][k] += np.take(samples, place, out=found[i:j], mode="clip").sum()
+    out = []
+    for own, at, total, (samples, _, _) in zip(starts, cuts, sums, sides):
+        ends = np.searchsorted(at, own), np.searchsorted(at, own + samples.size)
+        out.append(np.array([total[i:j].sum() for i, j in zip(*ends)]) / samples.size)
+    return out
+
+
+def resampled(b: np.ndarray, c: np.ndarray, courses: range, n_bootstrap: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(draws, their means) on these courses for the baseline ``b`` and for ``c``; a course has other draws of the one than of the other."""
+    sides = [(b, 2 * seed), (c, 2 * seed + 1)]
+    drawn = [[on_course(k, salt, n_bootstrap) for k in courses] for _, salt in sides]
+    if b.size + c.size <= _DRAW:  # courses would be walked for few picks of each draw
+        return [(own, _means(samples, own, salt)) for (samples, salt), own in zip(sides, map(np.concatenate, drawn))]
+    means: list[list[np.ndarray]] = [[], []]
+    for n, course in enumerate(courses):
+        own = [side for side in (0, 1) if drawn[side][n].size]
+        told = _means_on_course([(sides[s][0], drawn[s][n], sides[s][1]) for s in own], course) if own else []
+        for side, mean in zip(own, told):
+            means[side].append(mean)
+    return [(np.concatenate(own), np.concatenate([np.empty(0), *mean])) for own, mean in zip(drawn, means)]
+
+
+_DRAWN = T.ArrayType(T.StructType([T.StructField("draw", T.LongType()), T.StructField("mean", T.DoubleType())]))
+
+
+def _resamples(n_bootstrap: int, seed: int, blocks: int):
+    """The draws of each block and their means, beside its key."""
+
+    def lists(draws: np.ndarray, means: np.ndarray) -> pa.Array:
+        made = pa.StructArray.from_arrays([pa.array(draws, pa.int64()), pa.array(means, pa.float64())], names=["draw", "mean"])
+        return pa.ListArray.from_arrays(pa.array([0, draws.size], pa.int32()), made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
                 b, c = (row.column(x).flatten().to_numpy(zero_copy_only=False).astype(float) for x in ("b", "c"))
-                draws = np.arange(row.column("first")[0].as_py(), row.column("last")[0].as_py())
-                before, now = _means(b, draws, 2 * seed), _means(c, draws, 2 * seed + 1)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    told = np.where(before != 0, (now - before) / before, 0.0)
-                yield pa.RecordBatch.from_arrays([*(row.column(x) for x in KEY), pa.array([told], pa.list_(pa.float64()))], names=[*KEY, "draws"])
+                told = resampled(b, c, range(row.column("block")[0].as_py(), _PICK, blocks), n_bootstrap, seed)
+                yield pa.RecordBatch.from_arrays([*(row.column(x) for x in KEY), *(lists(*own) for own in told)], names=[*KEY, "before", "now"])
 
     return run
 
@@ -118,20 +195,22 @@ def _slowdowns(seed: int):
 def bootstrap_intervals(baseline: DataFrame, current: DataFrame, n_bootstrap: int = 10_000, seed: int = 1) -> DataFrame:
     """Estimate and Bonferroni-corrected interval of each key common to two tables of samples.
 
-    Keys with fewer than two samples on a side count as comparisons but get no interval.  The draws
-    of a key are dealt over tasks in blocks of BLOCK_DRAWS, each with the key's samples beside it.
+    Keys with fewer than two samples on a side count as comparisons but get no interval.  The courses
+    of the draws of a key are dealt over tasks in blocks, each with the key's samples beside it.
     """
     ship(baseline.sparkSession)
     pairs = baseline.select(*KEY, F.col("samples").alias("b")).join(current.select(*KEY, F.col("samples").alias("c")), KEY)
     pairs = pairs.join(F.broadcast(pairs.agg(F.count("*").alias("comparisons"))))  # one row
     fit = pairs.where((F.size("b") >= 2) & (F.size("c") >= 2))
-    first = F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1), F.lit(BLOCK_DRAWS)))
-    blocks = fit.select(*KEY, F.col("b").cast("array<double>").alias("b"), F.col("c").cast("array<double>").alias("c"), first.alias("first"))
-    blocks = blocks.withColumn("last", F.least(F.col("first") + BLOCK_DRAWS, F.lit(n_bootstrap)))
-    tasks = baseline.sparkSession.sparkContext.defaultParallelism * 2
-    kinds = T.StructType([*(baseline.schema[k] for k in KEY), T.StructField("draws", T.ArrayType(T.DoubleType()))])
-    told = blocks.repartition(tasks, *KEY, "first").mapInArrow(_slowdowns(seed), kinds)
-    spread = told.groupBy(*KEY).agg(F.sort_array(F.flatten(F.collect_list("draws"))).alias("draws"))  # n_bootstrap numbers a key
+    n_blocks = min(_PICK, max(BLOCKS, baseline.sparkSession.sparkContext.defaultParallelism * 2))
+    block = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
+    blocks = fit.select(*KEY, F.col("b").cast("array<double>").alias("b"), F.col("c").cast("array<double>").alias("c"), block.alias("block"))
+    kinds = T.StructType([*(baseline.schema[k] for k in KEY), T.StructField("before", _DRAWN), T.StructField("now", _DRAWN)])
+    told = blocks.repartitionById(n_blocks, F.col("block")).mapInArrow(_resamples(n_bootstrap, seed, n_blocks), kinds)
+    by_draw = lambda x: F.sort_array(F.flatten(F.collect_list(x)))
+    told = told.groupBy(*KEY).agg(by_draw("before").alias("before"), by_draw("now").alias("now"))  # n_bootstrap numbers a key
+    slower = lambda b, c: F.when(b["mean"] != 0, (c["mean"] - b["mean"]) / b["mean"]).otherwise(0.0)
+    spread = told.select(*KEY, F.sort_array(F.zip_with("before", "now", slower)).alias("draws"))
     alpha = F.lit(0.05) / F.greatest(F.col("comparisons"), F.lit(1))
     low = F.floor(F.lit(n_bootstrap) * (alpha / 2)).cast("int")
     high = F.least(F.floor(F.lit(n_bootstrap) * (1 - alpha / 2)), F.lit(n_bootstrap - 1)).cast("int")
