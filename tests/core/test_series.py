@@ -346,6 +346,20 @@ def test_distributed_courses(spark):
     assert np.isnan(regression.bootstrap_intervals(side(np.array([np.nan] * 4)), side(c[:50]), 300).first()["ci_low"])
 
 
+def test_report_of_large_shapes(spark):
+    """A slower shape of many samples and a steady one; each task has one block of draws of every shape."""
+    ids = spark.range(140_000).select("id", (F.col("id") % 2 == 0).alias("before"), F.when(F.col("id") % 20 > 1, "filter").otherwise("rolling").alias("operator"))
+    slower = F.when((F.col("operator") == "filter") & ~F.col("before"), 1.2).otherwise(1.0)
+    made = ids.select(
+        "id", "operator", F.lit(10).alias("row_count"), F.lit("float64").alias("dtype"), (F.col("id") % 3).alias("contiguous"), F.lit("s").alias("selected_kernel"), (slower * (100 + F.hash("id") % 7)).alias("runtime_ns"),
+        F.col("id").cast("double").alias("timestamp"), F.when(F.col("before"), "a").otherwise("b").alias("run_label"), F.concat(F.lit("x.py:"), "id").alias("call_site"),
+    )
+    report = regression.regression_report(tr.migrated(made), "a", "b", n_bootstrap=300)
+    assert "direct_shuffle_partition_id(block" in report._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["operator"]: (r["status"], r["lost_at"], r["n_baseline"]) for r in report.collect()}
+    assert got == {"filter": ("regression", "x.py:3", 63_000), "rolling": ("within_noise", None, 7_000)}
+
+
 def test_cleared_tables(spark):
     from plumbline.plans.materialize import clear, guarded, scratch, table
 
