@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,8 +54,8 @@ def evaluate(baseline: list[float], current: list[float], *, min_pairs: int = 20
     return out | {"estimate": estimate, "ci_low": low, "ci_high": high, "status": "regression" if low > threshold else "within_noise"}
 
 
-#: Blocks of draws at least, each of which is one row of the resampling, and numbers drawn at once.
-BLOCKS, DRAWN_AT_ONCE = 24, 1 << 15
+#: Blocks of draws at least, each of which is one task of the resampling, and numbers drawn at once.
+BLOCKS, DRAWN_AT_ONCE = 48, 1 << 15
 _PRIME = 2147483647
 #: Steps from a draw, and from a pick, to the next; draws that are ``_PICK`` apart follow one course, ``_DRAW`` picks apart.
 _DRAW, _PICK = 65537, 257
@@ -174,8 +174,8 @@ def resampled(b: np.ndarray, c: np.ndarray, courses: range, n_bootstrap: int, se
 _DRAWN = T.ArrayType(T.StructType([T.StructField("draw", T.LongType()), T.StructField("mean", T.DoubleType())]))
 
 
-def _resamples(n_bootstrap: int, seed: int, blocks: int):
-    """The draws of each block and their means, beside its key."""
+def _resamples(n_bootstrap: int, seed: int):
+    """The draws on each row's courses and their means, beside its key."""
 
     def lists(draws: np.ndarray, means: np.ndarray) -> pa.Array:
         made = pa.StructArray.from_arrays([pa.array(draws, pa.int64()), pa.array(means, pa.float64())], names=["draw", "mean"])
@@ -186,27 +186,53 @@ def _resamples(n_bootstrap: int, seed: int, blocks: int):
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
                 b, c = (row.column(x).flatten().to_numpy(zero_copy_only=False).astype(float) for x in ("b", "c"))
-                told = resampled(b, c, range(row.column("block")[0].as_py(), _PICK, blocks), n_bootstrap, seed)
+                told = resampled(b, c, range(*(row.column(x)[0].as_py() for x in ("first", "last"))), n_bootstrap, seed)
                 yield pa.RecordBatch.from_arrays([*(row.column(x) for x in KEY), *(lists(*own) for own in told)], names=[*KEY, "before", "now"])
 
     return run
 
 
+#: Groups of keys whose work is added up before the sums of the groups are.
+_GROUPS = 1024
+
+
+def dealt(pairs: DataFrame, n_bootstrap: int, blocks: int) -> DataFrame:
+    """The key of each pair of samples with its blocks, and in each the courses from ``first`` to before ``last``.
+
+    The courses of all keys lie on one line, each as long as its work, that is cut into equal blocks.  So
+    blocks have about the same work, and samples have a copy for each block on their stretch of the
+    line: for all keys together less than as many more as there are blocks.
+    """
+    n = F.size("b").cast("long") + F.size("c")
+    work = F.least(n, F.lit(_DRAW)) * n_bootstrap + n * _PICK  # about the numbers made and looked up
+    own = pairs.select(*KEY, work.alias("work"), F.pmod(F.hash(*KEY), F.lit(_GROUPS)).alias("group"))
+    sums = own.groupBy("group").agg(F.sum("work").alias("sum"))  # _GROUPS rows at most
+    sums = sums.select("group", (F.sum("sum").over(Window.orderBy("group")) - F.col("sum")).alias("before"), F.sum("sum").over(Window.partitionBy()).alias("all"))
+    inside = F.sum("work").over(Window.partitionBy("group").orderBy(*KEY)) - F.col("work")
+    line = own.withColumn("inside", inside).join(F.broadcast(sums), "group").withColumn("at", F.col("before") + F.col("inside"))
+    block_at = lambda x: F.least(F.floor(x / F.col("all") * blocks), F.lit(blocks - 1)).cast("int")
+    line = line.withColumns({"low": block_at(F.col("at")), "high": block_at(F.col("at") + F.col("work"))}).withColumn("block", F.explode(F.sequence("low", "high")))
+    # the first course that begins at the start of a block or after it
+    course = lambda x: F.least(F.greatest(F.ceil((x / blocks * F.col("all") - F.col("at")) * _PICK / F.col("work")), F.lit(0)), F.lit(_PICK))
+    first = F.when(F.col("block") == F.col("low"), 0).otherwise(course(F.col("block")))
+    last = F.when(F.col("block") == F.col("high"), _PICK).otherwise(course(F.col("block") + 1))
+    return line.select(*KEY, "block", first.cast("int").alias("first"), last.cast("int").alias("last")).where("first < last")
+
+
 def bootstrap_intervals(baseline: DataFrame, current: DataFrame, n_bootstrap: int = 10_000, seed: int = 1) -> DataFrame:
     """Estimate and Bonferroni-corrected interval of each key common to two tables of samples.
 
     Keys with fewer than two samples on a side count as comparisons but get no interval.  The courses
-    of the draws of a key are dealt over tasks in blocks, each with the key's samples beside it.
+    of the draws of all keys are dealt over tasks in blocks, with copies of the samples that a block needs.
     """
     ship(baseline.sparkSession)
     pairs = baseline.select(*KEY, F.col("samples").alias("b")).join(current.select(*KEY, F.col("samples").alias("c")), KEY)
     pairs = pairs.join(F.broadcast(pairs.agg(F.count("*").alias("comparisons"))))  # one row
     fit = pairs.where((F.size("b") >= 2) & (F.size("c") >= 2))
-    n_blocks = min(_PICK, max(BLOCKS, baseline.sparkSession.sparkContext.defaultParallelism * 2))
-    block = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    blocks = fit.select(*KEY, F.col("b").cast("array<double>").alias("b"), F.col("c").cast("array<double>").alias("c"), block.alias("block"))
+    n_blocks = max(BLOCKS, baseline.sparkSession.sparkContext.defaultParallelism * 4)
+    blocks = fit.select(*KEY, F.col("b").cast("array<double>").alias("b"), F.col("c").cast("array<double>").alias("c")).join(dealt(fit, n_bootstrap, n_blocks), KEY)
     kinds = T.StructType([*(baseline.schema[k] for k in KEY), T.StructField("before", _DRAWN), T.StructField("now", _DRAWN)])
-    told = blocks.repartitionById(n_blocks, F.col("block")).mapInArrow(_resamples(n_bootstrap, seed, n_blocks), kinds)
+    told = blocks.repartitionById(n_blocks, F.col("block")).mapInArrow(_resamples(n_bootstrap, seed), kinds)
     by_draw = lambda x: F.sort_array(F.flatten(F.collect_list(x)))
     told = told.groupBy(*KEY).agg(by_draw("before").alias("before"), by_draw("now").alias("now"))  # n_bootstrap numbers a key
     slower = lambda b, c: F.when(b["mean"] != 0, (c["mean"] - b["mean"]) / b["mean"]).otherwise(0.0)

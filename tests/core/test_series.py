@@ -360,6 +360,59 @@ def test_report_of_large_shapes(spark):
     assert got == {"filter": ("regression", "x.py:3", 63_000), "rolling": ("within_noise", None, 7_000)}
 
 
+def _sized(spark, sizes):
+    """Keys and both sides' samples; sizes are of each side."""
+    keys = spark.createDataFrame([("filter", "float64", k, *n) for k, n in enumerate(sizes)], "operator string, dtype string, row_count long, nb int, nc int")
+    value = lambda salt: lambda i: F.pmod(F.hash(i, "row_count", F.lit(salt)), F.lit(1000)) + 1.0
+    return keys.select(*tr.KEY, F.transform(F.sequence(F.lit(1), "nb"), value(0)).alias("b"), F.transform(F.sequence(F.lit(1), "nc"), value(1)).alias("c"))
+
+
+@pytest.mark.parametrize("sizes", [[(300_000, 200_000), *[(2, 3)] * 400], [(40_000, 30_000)] * 3 + [(20, 9_000)] * 21, [(2, 2)]])
+def test_courses_are_dealt_whole(spark, sizes):
+    """Each course of each key lies in one block, blocks have equal work, and few keys lie in more than one."""
+    rows = regression.dealt(_sized(spark, sizes), 10_000, 48).collect()
+    assert len(rows) < len(sizes) + 48
+    courses, work = {}, [0] * 48
+    for r in rows:
+        n = sum(sizes[r["row_count"]])
+        courses.setdefault(r["row_count"], []).extend(range(r["first"], r["last"]))
+        work[r["block"]] += (min(n, 65537) * 10_000 + n * 257) * (r["last"] - r["first"])
+    assert sorted(courses) == list(range(len(sizes))) and all(sorted(k) == list(range(257)) for k in courses.values())
+    assert max(work) <= sum(work) / 48 + max(min(sum(n), 65537) * 10_000 + sum(n) * 257 for n in sizes)  # the last course may run over
+
+
+def test_few_copies_of_samples(spark, monkeypatch):
+    """The resampling takes about a copy of each key's samples, not one for each block, and draws as before."""
+    copies = spark.sparkContext.accumulator(0)
+
+    def counted(*args, real=regression._resamples):
+        run = real(*args)
+
+        def count(batches):
+            for batch in batches:
+                copies.add(batch.num_rows)
+                yield from run([batch])
+
+        return count
+
+    monkeypatch.setattr(regression, "_resamples", counted)
+    sizes = [(3_000, 2_000), (1, 50), *[(30, 40)] * 60]
+    both = _sized(spark, sizes).cache()
+    told = {r["row_count"]: r for r in regression.bootstrap_intervals(both.select(*tr.KEY, F.col("b").alias("samples")), both.select(*tr.KEY, F.col("c").alias("samples")), 300).collect()}
+    assert 61 <= copies.value < 61 + 48
+    low, high = regression.bounds(300, regression.bonferroni(62))
+    for r in both.collect():
+        b, c = np.array(r["b"]), np.array(r["c"])
+        if b.size < 2:
+            assert told[r["row_count"]]["ci_low"] is None
+            continue
+        before, now = regression._means(b, np.arange(300), 2), regression._means(c, np.arange(300), 3)
+        want = np.sort((now - before) / before)
+        got = told[r["row_count"]]
+        assert (got["ci_low"], got["ci_high"]) == (pytest.approx(want[low], rel=1e-9), pytest.approx(want[high], rel=1e-9))
+    both.unpersist()
+
+
 def test_cleared_tables(spark):
     from plumbline.plans.materialize import clear, guarded, scratch, table
 
